@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,7 +75,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = B
     size = n = 0
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(text))
-        ends = np.cumsum(np.nan_to_num(pa.compute.binary_length(col).to_numpy(zero_copy_only=False)).astype(np.int64)) if len(col) else np.zeros(0, np.int64)
+        ends = np.cumsum(np.nan_to_num(pc.binary_length(col).to_numpy(zero_copy_only=False)).astype(np.int64)) if len(col) else np.zeros(0, np.int64)
         at = base = 0
         while at < len(ends):
             stop = int(np.searchsorted(ends, base + limit - size, side="right"))

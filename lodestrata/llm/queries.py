@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ctw, exact_dedup, langid, media, packing, quality
+from . import ctw, exact_dedup, langid, media, near_dedup, packing, quality
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_ctw_scoring": ctw.op3_ctw_scoring,
     "op4_quality_classifier": quality.op4_quality_classifier,
+    "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_language_id": langid.op9_language_id,
     "op10_media_columns": media.op10_media_columns,

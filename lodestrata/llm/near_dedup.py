@@ -13,7 +13,7 @@ counted on the shingles' 32-bit hashes, is at least THRESHOLD. Classes are the c
 
 Texts with the same words are one node. Each bucket compares its members to its first one; then, as
 long as a bucket holds several classes, members outside its largest class are compared to all members
-of other classes, STEP of them in a round. So each round is linear in the buckets and no pair of texts
+of other classes, one in the first round, then twice as many each time. So each round is linear in the buckets and no pair of texts
 in a bucket that might join classes is left out.
 
 Defined results: null and empty texts have no shingles; they equal each other and nothing else. Null ids
@@ -33,9 +33,10 @@ from .base import LOWER, blocks, documents, flat, mix, owners, span_hashes, with
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BANDS = 32
-ROWS = 5
-STEP = 64
+BANDS = 48
+ROWS = 7
+#: Pairs whose signatures agree in fewer components are no links: at THRESHOLD this is over six standard deviations off.
+AT_LEAST = 0.6
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xD6E8FEB86659FD93)
 _M2 = np.uint64(2 * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
@@ -119,7 +120,7 @@ def described(docs: DataFrame, id_col: str, text: str, size: int = SHINGLE, band
     src = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("t_"))
 
     def run(batches):
-        for t in blocks(batches, text="t_"):
+        for t in blocks(batches, text="t_", limit=1 << 20):
             hashes, before = _word_hashes(t["t_"])
             h1, h2 = _whole(hashes, before)
             s, counts = shingles(hashes, before, size)
@@ -135,14 +136,15 @@ def described(docs: DataFrame, id_col: str, text: str, size: int = SHINGLE, band
             keys = bands_of(sig, bands, rows).view(np.int64)
             flat_keys = keys[many > 0].ravel()
             offs = np.append(0, np.cumsum(np.where(many > 0, bands, 0))).astype(np.int32)
+            small = mix(sig.view(np.uint64)).astype(np.uint8)
             bag = np.sort(own.astype(np.uint64) << np.uint64(32) | el >> np.uint64(32)).astype(np.uint32).astype("<u4")
             edges = (counts * 4).tolist()
             raw = bag.tobytes()
-            cols = [t["id"].combine_chunks(), t["row"].combine_chunks(), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(many), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat_keys)), pa.array([raw[a:b] for a, b in zip(edges, edges[1:], strict=False)], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "row", "h1", "h2", "n", "bands", "bag"])
+            cols = [t["id"].combine_chunks(), t["row"].combine_chunks(), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(many), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat_keys)), pa.array([raw[a:b] for a, b in zip(edges, edges[1:], strict=False)], pa.binary()), pa.array([r.tobytes() for r in small], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "row", "h1", "h2", "n", "bands", "bag", "small"])
 
     long = T.LongType()
-    return src.mapInArrow(run, with_fields(src.drop("t_"), h1=long, h2=long, n=long, bands=T.ArrayType(long), bag=T.BinaryType()))
+    return src.mapInArrow(run, with_fields(src.drop("t_"), h1=long, h2=long, n=long, bands=T.ArrayType(long), bag=T.BinaryType(), small=T.BinaryType()))
 
 
 def _word_hashes(col) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +184,15 @@ def overlap(a: pa.ChunkedArray, b: pa.ChunkedArray) -> np.ndarray:
 
 
 def linked(pairs: DataFrame, bags: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose overlap is at least threshold."""
+    """The pairs (a, b) whose overlap is at least threshold. Bags go only to pairs whose signatures, a byte a component, allow it."""
+    near = pairs.select("a", "b").join(bags.select(F.col("row").alias("b"), F.col("small").alias("small_b")), "b").join(bags.select(F.col("row").alias("a"), F.col("small").alias("small_a")), "a").select("a", "b", "small_a", "small_b")
+
+    def alike(batches):
+        for t in batches:
+            x, y = (np.frombuffer(b"".join(t.column(i).to_pylist()), np.uint8).reshape(t.num_rows, -1) for i in (2, 3))
+            yield t.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= AT_LEAST if t.num_rows else np.zeros(0, bool)))
+
+    pairs = written(near.mapInArrow(alike, "a long, b long"))
     right = bags.select(F.col("row").alias("b"), F.col("bag").alias("bag_b"))
     left = bags.select(F.col("row").alias("a"), F.col("bag").alias("bag_a"))
 
@@ -230,10 +240,11 @@ def classes(described_rows: DataFrame) -> DataFrame:
     keyed = nodes.select("row", "n", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("row", "n")).alias("first")).where("many > 1")
     members = written(keyed.join(shared, "key").select("key", "row", "n", "many", F.col("first.row").alias("head"), F.col("first.n").alias("m")))
-    bags = nodes.select("row", "bag").join(members.select("row").distinct(), "row", "left_semi")
+    bags = nodes.select("row", "bag", "small").join(members.select("row").distinct(), "row", "left_semi")
     tested = written(_pairs(members, "head", "row"))
     links = written(linked(tested, bags))
     used: DataFrame | None = None
+    step = 1
     while True:
         found = written(components(links))
         # buckets of two are settled by their one pair
@@ -244,10 +255,11 @@ def classes(described_rows: DataFrame) -> DataFrame:
         outside = open_.where("class <> main").select("key", "row", "n", "class")
         if used is not None:
             outside = outside.join(used, ["key", "row"], "left_anti")
-        turn = outside.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("row"))).where(F.col("turn") <= STEP)
+        turn = outside.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("row"))).where(F.col("turn") <= step)
         turn = written(turn.select("key", "row", "n", "class"))
         if turn.isEmpty():
             return found
+        step *= 2
         used = turn.select("key", "row") if used is None else used.unionByName(turn.select("key", "row"))
         other = open_.select("key", F.col("row").alias("row_b"), F.col("n").alias("m"), F.col("class").alias("class_b"))
         pairs = _pairs(turn.join(other, "key").where("class <> class_b"), "row", "row_b").join(tested, ["a", "b"], "left_anti")

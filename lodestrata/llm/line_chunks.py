@@ -17,8 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .base import blocks, documents, flat, mix, owners, span_hashes, written
+from .base import blocks, documents, flat, mix, owners, span_hashes, with_fields, written
+from .exact_dedup import _lookup, repeated_filter
 
 WINDOW = 2
 SPREAD = 3
@@ -70,10 +72,11 @@ def chunked(docs: DataFrame, id_col: str, text: str, window: int = WINDOW, sprea
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, spread: int = SPREAD) -> DataFrame:
     """id_col, text without repeated chunks, n_lines, n_chunks, removed_chunks, removed_lines."""
     table = written(chunked(docs, id_col, text, window, spread))
-    marks = table.select(F.explode(F.col("chunks.h")).alias("h")).where("h is not null")
-    again = marks.groupBy("h").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("h")
-    every = table.select("id", "row", F.posexplode("chunks").alias("place", "c")).select("id", "row", "place", F.col("c.h").alias("h"), F.col("c.text").alias("part")).where("h is not null")
-    suspects = every.join(again, "h", "left_semi")
+    # pass one: a filter of hashes that may be repeated; pass two: only those chunks' bytes shuffle
+    digest = F.unhex(F.sha2(F.col("h").cast("string").cast("binary"), 256))
+    plane, bits = repeated_filter(table.select(F.explode(F.col("chunks.h")).alias("h")).where("h is not null").select(digest.alias("sha")))
+    every = table.select("id", "row", F.posexplode("chunks").alias("place", "c")).select("id", "row", "place", F.col("c.h").alias("h"), F.col("c.text").alias("part")).where("h is not null").withColumn("sha", digest)
+    suspects = every.mapInArrow(_lookup(docs.sparkSession, plane, bits), with_fields(every, maybe=T.BooleanType())).where("maybe").drop("sha", "maybe")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row", "place")
     first = suspects.groupBy("h", F.col("part").alias("same")).agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1").withColumnRenamed("h", "h_")
     gone = suspects.join(first, (F.col("h") == F.col("h_")) & (F.col("part") == F.col("same"))).where(~((F.col("row") == F.col("first.row")) & (F.col("place") == F.col("first.place"))))

@@ -19,7 +19,7 @@ WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028,
 #: After an apostrophe that begins a piece.
 SHORT = ["s", "t", "re", "ve", "m", "ll", "d"]
 #: Pieces that a worker remembers before it starts afresh.
-REMEMBERED = 1_500_000
+REMEMBERED = 400_000
 _tables: dict[str, np.ndarray] = {}
 _encoders: dict[tuple, Encoder] = {}
 _MUL = np.uint64(0x9E3779B97F4A7C15)

@@ -6,6 +6,9 @@ a Tokenizer is rebuilt: unigram models from the scores, BPE models with the merg
 order. If no piece has the blank's marker after another character, no merge crosses the place before a
 run of markers, so each word is encoded for itself, and only once by a worker.
 
+Parity: each distinct word that a worker meets is also encoded by SentencePiece itself; should one differ,
+whole texts are compared from then on. Models that aren't word by word compare whole texts always.
+
 Control pieces have no text; decoding drops them. Defined results: a null text counts as empty and has
 no ids. Rows keep their repeats; other columns are left out.
 """
@@ -141,11 +144,14 @@ def _starts(cp: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 @lru_cache(2)
 def codec(path: str, threads: int = 1):
-    """(normalise, encode, decode) of a model, kept by this worker. threads: of the library, for one batch."""
+    """(doubts, encode, decode) of a model, kept by this worker; no doubts: all words so far have parity. threads: of the library, for one batch."""
+    from sentencepiece import SentencePieceProcessor
+
     os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
     os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
     m = Model(path)
     whole = m.tokenizer()
+    doubts = [] if m.word_by_word and m.prefix else [True]
     plain = m.prefix and not m.trim and not m.charsmap
 
     def normalise(texts: list[str]) -> list[str]:
@@ -156,7 +162,15 @@ def codec(path: str, threads: int = 1):
     if m.word_by_word:
         word = m.tokenizer(whole=False)
         fast = getattr(word, "encode_batch_fast", word.encode_batch)
-        kept = Encoder(lambda x: [e.ids for e in fast(x, add_special_tokens=False)], _starts)
+        own = SentencePieceProcessor(model_file=path)
+
+        def both(found: list[str]) -> list[list[int]]:
+            ids = [e.ids for e in fast(found, add_special_tokens=False)]
+            if not doubts and own.encode([x.replace(MARK, " ")[1:] for x in found], num_threads=threads) != ids:
+                doubts.append(True)
+            return ids
+
+        kept = Encoder(both, _starts)
         encode = lambda texts: kept.ids(normalise(texts))
     else:
 
@@ -174,7 +188,7 @@ def codec(path: str, threads: int = 1):
         out = [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
         return [x[1:] if m.prefix and x[:1] == b" " else x for x in out]
 
-    return normalise, encode, decode
+    return doubts, encode, decode
 
 
 def model_path(name: str = MODEL) -> str:
@@ -188,7 +202,7 @@ def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
     path = path or model_path()
 
     def run(batches):
-        _, encode, decode = codec(path, threads)
+        doubts, encode, decode = codec(path, threads)
         if parity:
             from sentencepiece import SentencePieceProcessor
 
@@ -199,8 +213,10 @@ def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
             back = [x.decode("utf-8", "replace") for x in decode(ids, offs)]
             cols = [t[id_col].combine_chunks(), pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(ids.astype(np.int32))), pa.array(back, pa.string())]
             if parity:
-                theirs = own.encode(texts, num_threads=threads)
-                cols.append(pa.array([x == ids[a:b].tolist() for x, a, b in zip(theirs, offs.tolist(), offs[1:].tolist(), strict=False)], pa.bool_()))
+                same = [True] * len(texts)
+                if doubts:
+                    same = [x == ids[a:b].tolist() for x, a, b in zip(own.encode(texts, num_threads=threads), offs.tolist(), offs[1:].tolist(), strict=False)]
+                cols.append(pa.array(same, pa.bool_()))
             yield pa.RecordBatch.from_arrays(cols, [id_col, "ids", "decoded", "parity"][: len(cols)])
 
     kind = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, ids array<int>, decoded string" + (", parity boolean" if parity else "")
@@ -211,10 +227,10 @@ def digests(out: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """n_ids, CRC-32 of the ids as little-endian 32-bit numbers, SHA-256 of the decoded text, parity."""
 
     def run(batches):
-        for b in batches:
-            rows = b.to_pylist()
-            ids = [np.array(r["ids"], "<u4").tobytes() for r in rows]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(r["decoded"].encode()).hexdigest() for r in rows]), b.column(3)], [id_col, "n_ids", "ids_crc32", "decoded_sha256", "parity"])
+        for t in blocks(batches, text="decoded"):
+            b = t.combine_chunks().to_batches()[0]
+            ids = [x.values.to_numpy().astype("<u4").tobytes() for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.as_py().encode()).hexdigest() for x in b.column(2)]), b.column(3)], [id_col, "n_ids", "ids_crc32", "decoded_sha256", "parity"])
 
     return out.mapInArrow(run, f"`{id_col}` {out.schema[id_col].dataType.simpleString()}, n_ids long, ids_crc32 long, decoded_sha256 string, parity boolean")
 

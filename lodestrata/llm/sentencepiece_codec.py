@@ -207,7 +207,7 @@ def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
             from sentencepiece import SentencePieceProcessor
 
             own = SentencePieceProcessor(model_file=path)
-        for t in blocks(batches, text=text):
+        for t in blocks(batches, text=text, limit=1 << 20):
             texts = [x or "" for x in t[text].to_pylist()]
             ids, offs = encode(texts)
             back = [x.decode("utf-8", "replace") for x in decode(ids, offs)]

@@ -120,7 +120,7 @@ def described(docs: DataFrame, id_col: str, text: str, size: int = SHINGLE, band
     src = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("t_"))
 
     def run(batches):
-        for t in blocks(batches, text="t_", limit=1 << 20):
+        for t in blocks(batches, text="t_", limit=1 << 20, rows=2048):
             hashes, before = _word_hashes(t["t_"])
             h1, h2 = _whole(hashes, before)
             s, counts = shingles(hashes, before, size)
@@ -185,7 +185,7 @@ def overlap(a: pa.ChunkedArray, b: pa.ChunkedArray) -> np.ndarray:
 
 def linked(pairs: DataFrame, bags: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The pairs (a, b) whose overlap is at least threshold. Bags go only to pairs whose signatures, a byte a component, allow it."""
-    near = pairs.select("a", "b").join(bags.select(F.col("row").alias("b"), F.col("small").alias("small_b")), "b").join(bags.select(F.col("row").alias("a"), F.col("small").alias("small_a")), "a").select("a", "b", "small_a", "small_b")
+    near = _with_both(pairs, bags, "small")
 
     def alike(batches):
         for t in batches:
@@ -193,16 +193,20 @@ def linked(pairs: DataFrame, bags: DataFrame, threshold: float = THRESHOLD) -> D
             yield t.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= AT_LEAST if t.num_rows else np.zeros(0, bool)))
 
     pairs = written(near.mapInArrow(alike, "a long, b long"))
-    right = bags.select(F.col("row").alias("b"), F.col("bag").alias("bag_b"))
-    left = bags.select(F.col("row").alias("a"), F.col("bag").alias("bag_a"))
-
     def run(batches):
         for t in blocks(batches, text="bag_b"):
             ok = overlap(t["bag_a"], t["bag_b"]) >= threshold
             yield from t.select(["a", "b"]).filter(pa.array(ok)).to_batches()
 
-    both = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "bag_a", "bag_b")
-    return both.mapInArrow(run, "a long, b long")
+    return _with_both(pairs, bags, "bag").mapInArrow(run, "a long, b long")
+
+
+def _with_both(pairs: DataFrame, bags: DataFrame, name: str) -> DataFrame:
+    """a, b, and the column `name` of both. One row may be `a` of a third of the pairs, so that side is cut to the rows it needs and joined by a shuffle that can be split."""
+    right = bags.select(F.col("row").alias("b"), F.col(name).alias(f"{name}_b"))
+    left = written(bags.select("row", name).join(pairs.select(F.col("a").alias("row")).distinct(), "row", "left_semi"))
+    left = left.select(F.col("row").alias("a"), F.col(name).alias(f"{name}_a"))
+    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", f"{name}_a", f"{name}_b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -240,7 +244,7 @@ def classes(described_rows: DataFrame) -> DataFrame:
     keyed = nodes.select("row", "n", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("row", "n")).alias("first")).where("many > 1")
     members = written(keyed.join(shared, "key").select("key", "row", "n", "many", F.col("first.row").alias("head"), F.col("first.n").alias("m")))
-    bags = nodes.select("row", "bag", "small").join(members.select("row").distinct(), "row", "left_semi")
+    bags = written(described_rows.select("row", "bag", "small").join(members.select("row").distinct(), "row", "left_semi"))
     tested = written(_pairs(members, "head", "row"))
     links = written(linked(tested, bags))
     used: DataFrame | None = None

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import gf256, text
 from lodestrata.operators import media, queue, records
+from lodestrata.sources import captures
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -271,3 +272,10 @@ def armor_lines(spark, d):
 @query(None)
 def size_text(spark, d):
     return table(spark, d, "orders").select("o_orderkey", text.fmt_size(F.col("o_orderkey") * 997).alias("shown"))
+
+
+@query("SELECT doc_id, CAST((strlen(text) + 65535) // 65536 AS BIGINT) AS records, sha256(text) AS sha FROM documents")
+def capture_repair(spark, d):
+    """Every text as a damaged capture, mended: the payload is the text again."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    return captures.survives(docs).withColumnRenamed("id", "doc_id")

@@ -26,7 +26,9 @@ from lodestrata.functions import gf256
 from lodestrata.functions import reed_solomon as rs
 from lodestrata.operators import records
 
-# Fixed values of the format: signature, marks, header layout, limits, entry layout of parity records.
+# Fixed values of the format: name and files, signature, marks, header layout, limits, entry layout of parity records.
+FORMAT = "sstr"
+FILES = "*.[sS][sS][tT][rR]"
 MAGIC = b"\x89SST\r\n\x1a\n"
 MARKS = (b"\xa7SSR", b"\xa7SSr")
 HEADER = struct.Struct("<BBHQQII")
@@ -64,7 +66,7 @@ def capture(chunks: list[tuple[int, bytes]], stream_id: str, rows: int = 2, defl
         out.extend([packed(typ, flags, seq, t_us, plain)] * times)
         seq += 1
 
-    put("H", json.dumps({"format": "sstr", "version": rows - 1, "stream_id": stream_id}).encode(), 0, times=2)
+    put("H", json.dumps({"format": FORMAT, "version": rows - 1, "stream_id": stream_id}).encode(), 0, times=2)
     for at, (t_us, chunk) in enumerate(chunks):
         small = zlib.compress(chunk) if deflate else chunk
         flags = DEFLATED if len(small) < 0.95 * len(chunk) else 0
@@ -152,8 +154,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the capture at path, or of all `*.sstr` below it."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[sS][sS][tT][rR]").option("recursiveFileLookup", "true")
+    """Records of the capture at path, or of all FILES below it."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", FILES).option("recursiveFileLookup", "true")
     return scanned(files.load(path))
 
 

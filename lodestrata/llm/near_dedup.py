@@ -13,8 +13,8 @@ counted on the shingles' 32-bit hashes, is at least THRESHOLD. Classes are the c
 
 Texts with the same words are one node. Each bucket compares its members to its first one; then, as
 long as a bucket holds several classes, members outside its largest class are compared to all members
-of other classes, one in the first round, then twice as many each time. So each round is linear in the buckets and no pair of texts
-in a bucket that might join classes is left out.
+of other classes, one in the first round, then twice as many each time. A pair is left out only if it can't be a link: by its
+sizes, or as its members' distances to the bucket's first member differ too much (the triangle inequality).
 
 Defined results: null and empty texts have no shingles; they equal each other and nothing else. Null ids
 come last when a class picks its smallest id. Rows keep their repeats. Very long texts are taken
@@ -35,8 +35,10 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 48
 ROWS = 7
-#: Pairs whose signatures agree in fewer components are no links: at THRESHOLD this is over six standard deviations off.
-AT_LEAST = 0.6
+#: Pairs whose signatures differ in a larger share of components are no links: at THRESHOLD this is five standard deviations off.
+AT_MOST_APART = 0.31
+#: Members of a bucket in one row when they are compared to one another.
+TILE = 64
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xD6E8FEB86659FD93)
 _M2 = np.uint64(2 * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
@@ -183,22 +185,27 @@ def overlap(a: pa.ChunkedArray, b: pa.ChunkedArray) -> np.ndarray:
     return both / np.maximum(na + nb - both, 1)
 
 
-def linked(pairs: DataFrame, bags: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose overlap is at least threshold. Bags go only to pairs whose signatures, a byte a component, allow it."""
-    near = _with_both(pairs, bags, "small")
+def compared(pairs: DataFrame, bags: DataFrame) -> DataFrame:
+    """The pairs (a, b) with `apart`, the share of components, a byte of each, in which their signatures differ."""
 
-    def alike(batches):
+    def run(batches):
         for t in batches:
             x, y = (np.frombuffer(b"".join(t.column(i).to_pylist()), np.uint8).reshape(t.num_rows, -1) for i in (2, 3))
-            yield t.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= AT_LEAST if t.num_rows else np.zeros(0, bool)))
+            share = (x != y).mean(axis=1) if t.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(share)], ["a", "b", "apart"])
+
+    return _with_both(pairs, bags, "small").mapInArrow(run, "a long, b long, apart double")
+
+
+def linked(seen: DataFrame, bags: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Of compared() pairs those whose overlap is at least threshold. Bags go only to pairs whose signatures allow it."""
 
-    pairs = written(near.mapInArrow(alike, "a long, b long"))
     def run(batches):
         for t in blocks(batches, text="bag_b"):
             ok = overlap(t["bag_a"], t["bag_b"]) >= threshold
             yield from t.select(["a", "b"]).filter(pa.array(ok)).to_batches()
 
-    return _with_both(pairs, bags, "bag").mapInArrow(run, "a long, b long")
+    return _with_both(seen.where(F.col("apart") <= AT_MOST_APART), bags, "bag").mapInArrow(run, "a long, b long")
 
 
 def _with_both(pairs: DataFrame, bags: DataFrame, name: str) -> DataFrame:
@@ -241,36 +248,79 @@ def classes(described_rows: DataFrame) -> DataFrame:
     """(row of a distinct text, class) for all texts that have a link; from described() rows, written."""
     first = described_rows.groupBy("h1", "h2").agg(F.min("row").alias("row"))
     nodes = described_rows.join(first.select("row"), "row", "left_semi").where("n > 0")
-    keyed = nodes.select("row", "n", F.explode("bands").alias("key"))
+    keyed = nodes.select("row", "n", F.posexplode("bands").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("row", "n")).alias("first")).where("many > 1")
-    members = written(keyed.join(shared, "key").select("key", "row", "n", "many", F.col("first.row").alias("head"), F.col("first.n").alias("m")))
-    bags = written(described_rows.select("row", "bag", "small").join(members.select("row").distinct(), "row", "left_semi"))
-    tested = written(_pairs(members, "head", "row"))
+    members = written(keyed.join(shared, "key").select("key", "band", "row", "n", "many", F.col("first.row").alias("head"), F.col("first.n").alias("m")))
+    bags = written(described_rows.select("row", "bag", "small", "bands").join(members.select("row").distinct(), "row", "left_semi"))
+    tested = written(compared(_pairs(members, "head", "row"), bags))
     links = written(linked(tested, bags))
+    # buckets of two are settled by their one pair
+    held = members.where("many > 2").select("key", "band", "row", "n", "head")
     used: DataFrame | None = None
     step = 1
     while True:
         found = written(components(links))
-        # buckets of two are settled by their one pair
-        placed = members.where("many > 2").select("key", "row", "n").join(found.withColumnRenamed("node", "row"), "row", "left").withColumn("class", F.coalesce("class", "row"))
+        placed = held.join(found.withColumnRenamed("node", "row"), "row", "left").withColumn("class", F.coalesce("class", "row"))
         sizes = placed.groupBy("key", "class").agg(F.count(F.lit(1)).alias("in_class"))
         largest = sizes.groupBy("key").agg(F.max(F.struct("in_class", "class")).alias("most"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("key", F.col("most.class").alias("main"))
         open_ = placed.join(largest, "key")
-        outside = open_.where("class <> main").select("key", "row", "n", "class")
+        if step == 1:
+            # classes only grow, so a settled bucket stays settled and the others are all that later rounds read
+            open_ = open_.withColumns({"a": F.least("head", "row"), "b": F.greatest("head", "row")}).join(tested, ["a", "b"], "left")
+            open_ = written(open_.withColumn("away", F.when(F.col("head") == F.col("row"), 0.0).otherwise(F.col("apart"))).drop("a", "b", "apart"))
+            held = open_.select("key", "band", "row", "n", "away")
+        outside = open_.where("class <> main").select("key", "band", "row", "n", "class", "away")
         if used is not None:
             outside = outside.join(used, ["key", "row"], "left_anti")
         turn = outside.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("row"))).where(F.col("turn") <= step)
-        turn = written(turn.select("key", "row", "n", "class"))
+        turn = written(turn.select("key", "band", "row", "n", "class", "away"))
         if turn.isEmpty():
             return found
         step *= 2
         used = turn.select("key", "row") if used is None else used.unionByName(turn.select("key", "row"))
-        other = open_.select("key", F.col("row").alias("row_b"), F.col("n").alias("m"), F.col("class").alias("class_b"))
-        pairs = _pairs(turn.join(other, "key").where("class <> class_b"), "row", "row_b").join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs)
-        if not pairs.isEmpty():
-            tested = tested.unionByName(pairs)
-            links = links.unionByName(written(linked(pairs, bags)))
+        near = written(_across(turn, open_, bags))
+        if not near.isEmpty():
+            links = links.unionByName(written(linked(near, bags)))
+
+
+def _tiles(members: DataFrame, bags: DataFrame, name: str) -> DataFrame:
+    """key, and up to TILE of its members as a list of structs."""
+    at = F.row_number().over(Window.partitionBy("key").orderBy("row"))
+    placed = members.select("key", "band", "row", "n", "class", "away", F.floor((at - 1) / TILE).alias("tile"))
+    full = placed.join(bags.select("row", "small", "bands"), "row")
+    return full.groupBy("key", "tile").agg(F.collect_list(F.struct("band", "row", "n", "class", "away", "small", "bands")).alias(name)).select("key", name)
+
+
+def _across(turn: DataFrame, members: DataFrame, bags: DataFrame) -> DataFrame:
+    """(a, b, apart) for those in turn and the members of other classes in their buckets, of pairs that can be links.
+
+    Tiles of signatures meet, not rows, so a pair that is no candidate is never a row. Each pair is looked at
+    in the first of the bands that it shares.
+    """
+    met = _tiles(turn, bags, "x").join(_tiles(members, bags, "y"), "key").select("x", "y")
+
+    def side(col):
+        v = col.flatten()
+        get = lambda k: v.field(k).to_numpy(zero_copy_only=False)
+        sig = np.frombuffer(b"".join(v.field("small").to_pylist()), np.uint8).reshape(len(v), -1)
+        return get("row"), get("n"), get("class"), get("away").astype(float), sig, v.field("bands").flatten().to_numpy().reshape(len(v), -1), get("band")
+
+    def run(batches):
+        for t in batches:
+            for i in range(t.num_rows):
+                (row, n, kind, away, sig, keys, band), (row_b, m, kind_b, away_b, sig_b, keys_b, _) = (side(t.column(k).slice(i, 1)) for k in (0, 1))
+                fit = np.minimum.outer(n, m) >= THRESHOLD * np.maximum.outer(n, m) - 1e-9
+                # distances to the bucket's first member bound the distance of a pair; where one is unknown, nothing is left out
+                fit &= (kind[:, None] != kind_b) & ~(np.abs(away[:, None] - away_b) > AT_MOST_APART + 1e-9)
+                x, y = np.nonzero(fit)
+                share = (sig[x] != sig_b[y]).mean(axis=1)
+                near = np.flatnonzero(share <= AT_MOST_APART)
+                x, y, share = x[near], y[near], share[near]
+                keep = (keys[x] == keys_b[y]).argmax(axis=1) == band[x]
+                one, two = row[x[keep]], row_b[y[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(share[keep])], ["a", "b", "apart"])
+
+    return met.mapInArrow(run, "a long, b long, apart double").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -20,28 +20,33 @@ QUALITY_AT_LEAST = 0.7
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorisation machine, fitted to the labels, calls good."""
+    ship(spark)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs, model).where(F.col("score") >= QUALITY_AT_LEAST).select(*docs.columns)
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the rank-order profiles know; texts without letters go."""
+    ship(spark)
     out = langid.predict(docs, langid.language_profiles(docs))
     return out.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One of each group of equal texts, the one with the smallest id."""
+    ship(spark)
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One of each class of near copies, the one with the smallest id."""
+    ship(spark)
     return near_dedup.drop_near_duplicates(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their sequence and place."""
+    ship(spark)
     return packing.pack(docs)
 
 
@@ -51,7 +56,6 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
     docs = documents(spark, sf_dir)
     for _, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir))

@@ -10,12 +10,17 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parent
+#: A task holds a batch in the JVM and in Python at once, so batches of long rows must be short.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = "4m"
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends the package to the executors, once per application, unless PYTHONPATH has it there."""
+    """Sends the package to the executors, once per application, unless PYTHONPATH has it there; bounds Arrow batches by bytes unless the application does."""
     app = spark.sparkContext.applicationId
+    if not spark.sparkContext.getConf().contains(BATCH):
+        spark.conf.set(BATCH, BATCH_BYTES)
     known = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT.parent not in known and app not in _shipped:
         at = Path(tempfile.mkdtemp(prefix="lodestrata-")) / "lodestrata.zip"

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestrata.llm import ctw, exact_dedup, langid, line_chunks, media, near_dedup, packing, pieces, preference, quality, sentencepiece_codec
@@ -184,3 +185,32 @@ def test_preference(spark):
     one, two = sorted(preference.format_preferences(spark.createDataFrame(rows, "pair_id long, is_rejected boolean, turn long, role string, text string")).collect(), key=lambda r: r.pair_id)
     assert one.prefix_turns == 1 and one.prompt == "<|user|>\nhi<|end|>\n" and one.rejected[one.rejected_mask[0].start : one.rejected_mask[0].end] == "bad one<|end|>"
     assert two.prefix_turns == 0 and not two.complete and two.rejected == ""
+
+
+def test_scores_keep_every_context_seen_twice(spark):
+    from pyspark.sql import functions as F
+
+    from lodestrata.llm.base import LOWER, flat, remainder, words
+
+    draw = random.Random(8)
+    rows = [(i, " ".join(f"w{draw.randrange(40)}" for _ in range(400)) + (" zyxqv jkpwb" if i in (3, 4, 5) else ""), "en", "s", 1, "") for i in range(250)] + [(900, "zyxqv jkpwb", "en", "s", 1, ""), (901, None, "en", "s", 1, "")]
+    docs = spark.createDataFrame(rows, KIND).repartition(3)
+    got = {r.doc_id: r for r in ctw.scored(docs).collect()}
+    model = ctw.fit(docs.where(remainder("doc_id", 10) != 0))
+    taught = [r[0] for r in docs.where(remainder("doc_id", 10) != 0).select("doc_id").collect()]
+    assert sum(i in taught for i in (3, 4, 5)) >= 2
+    assert {b"xyz", b"vqxyz ", b"bwpkj"} <= {c for level in ctw.grown(*_strings([r[1] for r in rows if r[0] in taught]))[0].contexts for c in level}
+    for i, text, *_ in rows:
+        data, offs = flat(pa.chunked_array([pa.array([text])]))
+        data, where, before = ctw.stream(LOWER[data], *words(LOWER[data], offs))
+        want = ctw.text_scores(data, where, before, model)[0]
+        assert abs(got[i].score - want) < 1e-3 * max(1, len(where)) ** 0.5 and np.isclose(got[i].bits_per_byte, -got[i].score * np.log2(10) / len(where))
+    assert got[900].bits_per_byte < 3
+
+
+def _strings(texts):
+    from lodestrata.llm.base import LOWER, flat, words
+
+    data, offs = flat(pa.chunked_array([pa.array(texts)]))
+    data, where, _ = ctw.stream(LOWER[data], *words(LOWER[data], offs))
+    return np.unique(ctw.grams(data, where), return_counts=True)

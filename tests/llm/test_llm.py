@@ -214,3 +214,33 @@ def _strings(texts):
     data, offs = flat(pa.chunked_array([pa.array(texts)]))
     data, where, _ = ctw.stream(LOWER[data], *words(LOWER[data], offs))
     return np.unique(ctw.grams(data, where), return_counts=True)
+
+
+def test_repeated_runs_of_lines_go_whole(spark):
+    draw = random.Random(6)
+    pool = [f"line {i} of all" for i in range(60)] + [""]
+    texts = ["\n".join(draw.choice([f"own {d} {k}", *draw.choices(pool, k=2)]) if draw.random() < 0.6 else "\n".join(pool[(s := draw.randrange(55)) : s + draw.randrange(2, 6)]) for k in range(draw.randrange(1, 14))) for d in range(120)]
+    texts += ["q\nq\nq", "q\nq\nq", "z\nz\nz\nz", "\n\n\n"]
+    got = {r.doc_id: r for r in line_chunks.dedup_lines(spark.createDataFrame([(i, t, "en", "s", 1, "") for i, t in enumerate(texts)], KIND)).collect()}
+    seen = {}
+    for i, t in enumerate(texts):
+        lines, off = t.split("\n"), set()
+        for k in range(len(lines) - 1):
+            pair = lines[k], lines[k + 1]
+            if pair == ("", ""):
+                continue
+            if seen.setdefault(pair, (i, k)) not in ((i, k), (i, k - 1)):
+                off |= {k, k + 1}
+        for k, line in enumerate(lines):
+            lo, hi = k, k
+            while lo >= 0 and not lines[lo] and lo not in off:
+                lo -= 1
+            while hi < len(lines) and not lines[hi] and hi not in off:
+                hi += 1
+            if not line and lo in off and hi in off and k not in off and lo >= 0:
+                assert "" == line and k not in off
+                lines[k] = None
+        want = "\n".join(x for k, x in enumerate(lines) if k not in off and x is not None)
+        assert got[i].text == want and got[i].n_lines == len(lines) and got[i].removed_lines == len(off) + lines.count(None)
+    rows = [(0, "a one\nfoo bar\nbaz qux\nb one", "", "", 1, ""), (1, "c one\nfoo bar\nbaz qux\nd one", "", "", 1, "")]
+    assert [r.text for r in sorted(line_chunks.dedup_lines(spark.createDataFrame(rows, KIND)).collect(), key=lambda r: r.doc_id)] == [rows[0][1], "c one\nd one"]

@@ -265,8 +265,13 @@ def export_tally(spark, d):
 
 @query(None)
 def armor_lines(spark, d):
-    """Each text's first 45 bytes at its offset as an armor line."""
-    return table(spark, d, "documents").select("doc_id", text.armor_line(F.col("doc_id") * 45, F.substring(F.col("text").cast("binary"), 1, 45)).alias("line"))
+    """Each text's bytes in pieces of 45, each an armor line at its offset in the text; an empty or null text has none."""
+    data = F.array(F.col("text").cast("binary"))
+    many = F.floor((F.octet_length("text") + 44) / 45).cast("int")
+    # the outer transform makes the text's bytes once, not for each piece
+    pieces = F.transform(data, lambda b: F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.struct((i.cast("long") * 45).alias("offset"), F.substring(b, i * 45 + 1, F.lit(45)).alias("bytes"))))[0]
+    lines = table(spark, d, "documents").where(many > 0).select("doc_id", F.explode(pieces).alias("p"))
+    return lines.select("doc_id", text.armor_line(F.col("p.offset"), F.col("p.bytes")).alias("line"))
 
 
 @query(None)

@@ -1,5 +1,9 @@
 """Every query with SQL gives the same rows as DuckDB."""
 
+import base64
+import collections
+import zlib
+
 import duckdb
 import pytest
 
@@ -27,3 +31,20 @@ def test_same_as_sql(spark, duck, name):
     left = sorted((tuple(r[n] for n in names) for r in got.collect()), key=repr)
     right = sorted((tuple(r[i] for i in at) for r in want.fetchall()), key=repr)
     assert len(left) > 0 and left == right
+
+
+def test_armor_lines_hold_every_byte(spark, tmp_path):
+    def brute(rows):
+        want = []
+        for i, text in rows:
+            data = (text or "").encode()
+            for at in range(0, len(data), 45):
+                head = f"S{at:09x}:{base64.urlsafe_b64encode(data[at : at + 45]).decode().rstrip('=')}"
+                want.append((i, f"{head}:{zlib.crc32(head.encode()):08x}"))
+        return collections.Counter(want)
+
+    rows = [(1, "x" * 45), (2, "é" * 200), (3, ""), (4, None), (5, "a"), (6, "y" * 46)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for d in (str(tmp_path), DIR):
+        docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
+        assert collections.Counter(map(tuple, catalogue.QUERIES["armor_lines"](spark, d).collect())) == brute(docs)

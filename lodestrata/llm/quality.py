@@ -28,8 +28,6 @@ from .base import LOWER, SPACE, blocks, documents, flat, owners, remainder, span
 BUCKETS = 1 << 15
 FACTORS = 8
 TRAIN_ROWS = 8000
-#: In the fit alone, of a text with more distinct words; scoring takes all.
-WORDS_KEPT = 2000
 EPOCHS = 6
 #: Of the fit, at least.
 STEPS = 300
@@ -151,8 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
             out = {"stats": [], "bucket": [], "value": []}
             for i in range(len(t)):
                 lo, hi = before[i], before[i + 1]
-                best = np.arange(lo, hi) if hi - lo <= WORDS_KEPT else lo + np.sort(np.argsort(-value[lo:hi], kind="stable")[:WORDS_KEPT])
-                for k, x, kind in (("stats", stats[i], "<f4"), ("bucket", bucket[best], "<i4"), ("value", value[best], "<f4")):
+                for k, x, kind in (("stats", stats[i], "<f4"), ("bucket", bucket[lo:hi], "<i4"), ("value", value[lo:hi], "<f4")):
                     out[k].append(x.astype(kind).tobytes())
             yield pa.RecordBatch.from_arrays([*(pa.array(out[k], pa.binary()) for k in out), t["q_"].combine_chunks()], ["stats", "bucket", "value", "label"])
 

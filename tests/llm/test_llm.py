@@ -244,3 +244,15 @@ def test_repeated_runs_of_lines_go_whole(spark):
         assert got[i].text == want and got[i].n_lines == len(lines) and got[i].removed_lines == len(off) + lines.count(None)
     rows = [(0, "a one\nfoo bar\nbaz qux\nb one", "", "", 1, ""), (1, "c one\nfoo bar\nbaz qux\nd one", "", "", 1, "")]
     assert [r.text for r in sorted(line_chunks.dedup_lines(spark.createDataFrame(rows, KIND)).collect(), key=lambda r: r.doc_id)] == [rows[0][1], "c one\nd one"]
+
+
+def test_quality_learns_from_every_word_of_a_long_text(spark):
+    rows = [(i, " ".join(f"u{i}x{k}" for k in range(3000)), "en", "s", 1, "") for i in range(8)]
+    docs = spark.createDataFrame(rows, KIND)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int")
+    used = labels.where(quality.remainder("doc_id", 4) != 2).select("doc_id", "quality").collect()
+    assert {r.quality for r in used} == {0, 1}
+    model = quality.train(docs, labels)
+    texts = pa.chunked_array([pa.array([rows[r.doc_id][1] for r in used])])
+    _, _, bucket, _ = quality.inputs(texts, pa.chunked_array([pa.array([1] * len(used))]))
+    assert (model.w[len(quality.STATS) + np.unique(bucket)] != 0).mean() > 0.99

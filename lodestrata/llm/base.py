@@ -7,9 +7,11 @@ depends on the block size (or on the single longest text), not on how many rows
 from __future__ import annotations
 
 import atexit
+import ctypes
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,19 +22,21 @@ from pyspark.sql import types as T
 
 from lodestrata.session import ship
 
-BLOCK_BYTES = 2 << 20
-_made: list[tuple[SparkSession, str]] = []
+BLOCK_BYTES = 1 << 20
+_made: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir. Only where that is unset, as in tests, a local one is made and set."""
+    """A fresh folder below spark.checkpoint.dir. Only a session on one machine, as in tests, may leave that unset and gets one."""
     sc = spark.sparkContext
     top = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not top:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir is unset: work tables need a folder that all executors see")
         top = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
         sc.setCheckpointDir(top)
     path = f"{top.rstrip('/')}/work-{uuid.uuid4().hex}"
-    _made.append((spark, path))
+    _made[path] = spark
     return path
 
 
@@ -40,22 +44,49 @@ def discard(spark: SparkSession, path: str) -> None:
     """Deletes a work folder through Hadoop's file system."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _made.pop(path, None)
 
 
 @atexit.register
 def _discard_all() -> None:
-    for spark, path in _made:
+    for path, spark in list(_made.items()):
         try:
             discard(spark, path)
         except Exception:  # noqa: BLE001  the session is over; its folder's owner cleans up
-            return
+            continue
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: its lineage is cut, and a lost executor loses none of it."""
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
+    """df as a table in the shared folder, parted by a column if named: its lineage is cut, and a lost executor loses none of it."""
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.work_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes written() tables that nothing reads any more."""
+    for t in tables:
+        discard(t.sparkSession, t.work_path)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, for mapInArrow; after a task's last batch its worker returns freed memory to the machine."""
+
+    def held(batches):
+        yield from run(batches)
+        trim()
+
+    return held
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,11 +155,15 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _grown(which: int, n: int) -> np.ndarray:
-    if len(_powers[which]) < n:
-        steps = np.full(max(n, 1 << 16), (_M, _INV)[which], np.uint64)
-        steps[0] = 1
-        _powers[which] = np.multiply.accumulate(steps)
-    return _powers[which][:n]
+    """The first n powers; those of one very long text are not kept."""
+    if len(_powers[which]) >= n:
+        return _powers[which][:n]
+    steps = np.full(max(n, 1 << 16), (_M, _INV)[which], np.uint64)
+    steps[0] = 1
+    out = np.multiply.accumulate(steps)
+    if n <= 2 * BLOCK_BYTES:
+        _powers[which] = out
+    return out[:n]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, letters: np.ndarray = _LETTERS) -> np.ndarray:

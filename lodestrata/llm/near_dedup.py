@@ -8,13 +8,16 @@ after another, each to a random component, which keeps its smallest. Processes a
 weight are left out, and those later than the largest component end. So two bags agree in a
 component with the probability sum(min) / sum(max) of their counts.
 
-Texts that share a band of ROWS components are candidates; a link is a pair whose multiset overlap,
-counted on the shingles' 32-bit hashes, is at least THRESHOLD. Classes are the connected links.
+Texts that share a band of ROWS components are candidates; a link is a pair whose multiset overlap is at
+least THRESHOLD, counted on 48 bits of the shingles' hashes. Classes are the connected links.
 
-Texts with the same words are one node. Each bucket compares its members to its first one; then, as
-long as a bucket holds several classes, members outside its largest class are compared to all members
-of other classes, one in the first round, then twice as many each time. A pair is left out only if it can't be a link: by its
-sizes, or as its members' distances to the bucket's first member differ too much (the triangle inequality).
+Texts with the same words are one node. Each bucket compares its members to its first one. Where that
+leaves a bucket in several groups of near signatures, the members outside its largest group meet all others in
+tiles of signatures, and each pair of tiles gives the few edges that join groups, not its pairs. The groups so
+joined are blocks: every text is in one, and no pair that can be a link crosses two. In blocks of several
+classes the members outside the largest class meet all others in tiles once more, this time with their bags;
+each pair whose signatures are near is verified there, and only links that join classes leave the task. So no
+step has a row for each pair, and a text's bag moves once a block, not once a bucket.
 
 Defined results: null and empty texts have no shingles; they equal each other and nothing else. Null ids
 come last when a class picks its smallest id. Rows keep their repeats. Very long texts are taken
@@ -25,20 +28,25 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import LOWER, blocks, documents, flat, mix, owners, span_hashes, with_fields, words, written
+from .base import LOWER, blocks, documents, drop, flat, lean, mix, owners, span_hashes, with_fields, words, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 48
 ROWS = 7
-#: Pairs whose signatures differ in a larger share of components are no links: at THRESHOLD this is five standard deviations off.
-AT_MOST_APART = 0.31
-#: Members of a bucket in one row when they are compared to one another.
+#: Pairs whose signatures differ in a larger share of components are no links: at THRESHOLD this is 6.5 standard deviations off.
+AT_MOST_APART = 1 - THRESHOLD + 6.5 * (THRESHOLD * (1 - THRESHOLD) / (BANDS * ROWS)) ** 0.5
+#: Members of a tile, about, and its bytes of bags, about (one member at least).
 TILE = 64
+TILE_BYTES = 1 << 19
+#: Values of bags that are compared at once.
+VALUES = 1 << 20
+#: Bytes of a bag for each shingle.
+WIDE = 6
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xD6E8FEB86659FD93)
 _M2 = np.uint64(2 * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
@@ -109,20 +117,12 @@ def signatures(who: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int,
     return h
 
 
-def bands_of(h: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    bits = h[:, : bands * rows].copy().view(np.uint64).reshape(len(h), bands, rows)
-    out = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _GOLD, (len(h), bands)).copy()
-    for i in range(rows):
-        out = mix(out * _M + bits[:, :, i])
-    return out
-
-
 def described(docs: DataFrame, id_col: str, text: str, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """id, row, two hashes of the word sequence, number of shingles, band keys, and the sorted 32-bit bag."""
+    """id, row, two hashes of the word sequence, number of shingles, the bag (sorted, 48 bits each), and the signature, a byte a component."""
     src = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("t_"))
 
     def run(batches):
-        for t in blocks(batches, text="t_", limit=1 << 20, rows=2048):
+        for t in blocks(batches, text="t_", rows=2048):
             hashes, before = _word_hashes(t["t_"])
             h1, h2 = _whole(hashes, before)
             s, counts = shingles(hashes, before, size)
@@ -134,19 +134,16 @@ def described(docs: DataFrame, id_col: str, text: str, size: int = SHINGLE, band
             first[1:] = (el[1:] != el[:-1]) | (own[1:] != own[:-1])
             at = np.flatnonzero(first)
             sig = signatures(own[at], el[at], np.diff(np.append(at, len(el))), n, bands * rows)
-            many = np.diff(counts)
-            keys = bands_of(sig, bands, rows).view(np.int64)
-            flat_keys = keys[many > 0].ravel()
-            offs = np.append(0, np.cumsum(np.where(many > 0, bands, 0))).astype(np.int32)
             small = mix(sig.view(np.uint64)).astype(np.uint8)
-            bag = np.sort(own.astype(np.uint64) << np.uint64(32) | el >> np.uint64(32)).astype(np.uint32).astype("<u4")
-            edges = (counts * 4).tolist()
+            bag = np.ascontiguousarray(el.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - WIDE :])
+            many = np.diff(counts)
+            edges = (counts * WIDE).tolist()
             raw = bag.tobytes()
-            cols = [t["id"].combine_chunks(), t["row"].combine_chunks(), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(many), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat_keys)), pa.array([raw[a:b] for a, b in zip(edges, edges[1:], strict=False)], pa.binary()), pa.array([r.tobytes() for r in small], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "row", "h1", "h2", "n", "bands", "bag", "small"])
+            cols = [t["id"].combine_chunks(), t["row"].combine_chunks(), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(many), pa.array([raw[a:b] for a, b in zip(edges, edges[1:], strict=False)], pa.binary()), pa.array([r.tobytes() for r in small], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "row", "h1", "h2", "n", "bag", "small"])
 
     long = T.LongType()
-    return src.mapInArrow(run, with_fields(src.drop("t_"), h1=long, h2=long, n=long, bands=T.ArrayType(long), bag=T.BinaryType(), small=T.BinaryType()))
+    return src.mapInArrow(lean(run), with_fields(src.drop("t_"), h1=long, h2=long, n=long, bag=T.BinaryType(), small=T.BinaryType()))
 
 
 def _word_hashes(col) -> tuple[np.ndarray, np.ndarray]:
@@ -166,54 +163,68 @@ def _whole(hashes: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out[0], out[1]
 
 
-def overlap(a: pa.ChunkedArray, b: pa.ChunkedArray) -> np.ndarray:
-    """sum(min) / sum(max) of the counts of each pair of sorted bags."""
+class Bags:
+    """Some texts' bags: distinct values, their counts, where each text's begin, and the texts' sizes."""
 
-    def runs(col):
+    def __init__(self, col):
         data, offs = flat(col)
-        n = np.diff(offs) // 4
-        keys = np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(32) | np.frombuffer(data.tobytes(), "<u4")
-        first = np.ones(len(keys), bool)
-        first[1:] = keys[1:] != keys[:-1]
+        raw = np.zeros((len(data) // WIDE, 8), np.uint8)
+        raw[:, :WIDE] = data.reshape(-1, WIDE)
+        value = raw.view("<u8")[:, 0]
+        self.size = np.diff(offs) // WIDE
+        who = owners(offs // WIDE)
+        first = np.ones(len(value), bool)
+        first[1:] = (value[1:] != value[:-1]) | (who[1:] != who[:-1])
         at = np.flatnonzero(first)
-        return keys[at], np.diff(np.append(at, len(keys))), n
-
-    (ka, ca, na), (kb, cb, nb) = runs(a), runs(b)
-    at = np.minimum(np.searchsorted(ka, kb), max(len(ka) - 1, 0))
-    hit = ka[at] == kb if len(ka) else np.zeros(len(kb), bool)
-    both = np.bincount((kb[hit] >> np.uint64(32)).astype(np.int64), np.minimum(ca[at[hit]], cb[hit]), len(na)) if len(ka) else np.zeros(len(na))
-    return both / np.maximum(na + nb - both, 1)
-
-
-def compared(pairs: DataFrame, bags: DataFrame) -> DataFrame:
-    """The pairs (a, b) with `apart`, the share of components, a byte of each, in which their signatures differ."""
-
-    def run(batches):
-        for t in batches:
-            x, y = (np.frombuffer(b"".join(t.column(i).to_pylist()), np.uint8).reshape(t.num_rows, -1) for i in (2, 3))
-            share = (x != y).mean(axis=1) if t.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(share)], ["a", "b", "apart"])
-
-    return _with_both(pairs, bags, "small").mapInArrow(run, "a long, b long, apart double")
-
-
-def linked(seen: DataFrame, bags: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Of compared() pairs those whose overlap is at least threshold. Bags go only to pairs whose signatures allow it."""
+        self.value, self.count = value[at], np.diff(np.append(at, len(value)))
+        self.edge = np.append(0, np.cumsum(np.bincount(who[at], minlength=len(self.size))))
+
+    def of(self, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of the texts, each with its place in the list above them, and counts."""
+        n = np.diff(self.edge)[texts]
+        total = np.append(0, np.cumsum(n))
+        at = np.repeat(self.edge[texts] - total[:-1], n) + np.arange(total[-1])
+        return np.repeat(np.arange(len(texts), dtype=np.uint64), n) << np.uint64(48) | self.value[at], self.count[at]
+
+
+def overlap(one: Bags, x: np.ndarray, two: Bags, y: np.ndarray) -> np.ndarray:
+    """sum(min) / sum(max) of the counts of each pair (x of one, y of two); bounded runs of pairs at a time."""
+    both = np.zeros(len(x))
+    load = np.cumsum(np.diff(one.edge)[x] + np.diff(two.edge)[y])
+    at = 0
+    while at < len(x):
+        stop = int(np.searchsorted(load, (load[at - 1] if at else 0) + VALUES, side="right"))
+        stop = min(max(stop, at + 1), at + 60_000, len(x))
+        (ka, ca), (kb, cb) = one.of(x[at:stop]), two.of(y[at:stop])
+        if len(ka) and len(kb):
+            place = np.minimum(np.searchsorted(ka, kb), len(ka) - 1)
+            hit = np.flatnonzero(ka[place] == kb)
+            both[at:stop] = np.bincount((kb[hit] >> np.uint64(48)).astype(np.int64), np.minimum(ca[place[hit]], cb[hit]), stop - at)
+        at = stop
+    return both / np.maximum(one.size[x] + two.size[y] - both, 1)
+
+
+def _bytes(col) -> np.ndarray:
+    """Signatures, a row each."""
+    return flat(col)[0].reshape(len(col), -1)
+
+
+def compared(pairs: DataFrame, bags: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The pairs (a, b) whose signatures are near, and whether they are links."""
 
     def run(batches):
         for t in blocks(batches, text="bag_b"):
-            ok = overlap(t["bag_a"], t["bag_b"]) >= threshold
-            yield from t.select(["a", "b"]).filter(pa.array(ok)).to_batches()
-
-    return _with_both(seen.where(F.col("apart") <= AT_MOST_APART), bags, "bag").mapInArrow(run, "a long, b long")
+            near = np.flatnonzero((_bytes(t["small_a"]) != _bytes(t["small_b"])).mean(axis=1) <= AT_MOST_APART)
+            t = t.take(pa.array(near))
+            every = np.arange(len(near))
+            ok = overlap(Bags(t["bag_a"]), every, Bags(t["bag_b"]), every) >= threshold
+            yield pa.RecordBatch.from_arrays([t["a"].combine_chunks(), t["b"].combine_chunks(), pa.array(ok)], ["a", "b", "link"])
 
-
-def _with_both(pairs: DataFrame, bags: DataFrame, name: str) -> DataFrame:
-    """a, b, and the column `name` of both. One row may be `a` of a third of the pairs, so that side is cut to the rows it needs and joined by a shuffle that can be split."""
-    right = bags.select(F.col("row").alias("b"), F.col(name).alias(f"{name}_b"))
-    left = written(bags.select("row", name).join(pairs.select(F.col("a").alias("row")).distinct(), "row", "left_semi"))
-    left = left.select(F.col("row").alias("a"), F.col(name).alias(f"{name}_a"))
-    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", f"{name}_a", f"{name}_b")
+    side = lambda rows, k: rows.select(F.col("row").alias(k), F.col("bag").alias(f"bag_{k}"), F.col("small").alias(f"small_{k}"))
+    # one row may be `a` of a third of the pairs, so that side is cut to the rows it needs and joined by a shuffle that can be split
+    heads = bags.join(pairs.select(F.col("a").alias("row")).distinct(), "row", "left_semi")
+    met = pairs.join(side(bags, "b"), "b").join(side(heads, "a"), "a")
+    return met.select("a", "b", "bag_a", "bag_b", "small_a", "small_b").mapInArrow(lean(run), "a long, b long, link boolean")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -229,9 +240,13 @@ def components(links: DataFrame) -> DataFrame:
         steps.append(to)
         left, right = to.select(F.col("node").alias("a"), F.col("to").alias("x")), to.select(F.col("node").alias("b"), F.col("to").alias("y"))
         met = edges.join(left, "a").join(right, "b").where("x <> y")
-        edges = written(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        rest = written(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        if edges is not links:
+            drop(edges)
+        edges = rest
         if edges.isEmpty():
             break
+    drop(edges)
     out = steps[-1].select("node", F.col("to").alias("class"))
     for to in reversed(steps[:-1]):
         out = to.join(out.select(F.col("node").alias("to"), "class"), "to", "left").select("node", F.coalesce("class", "to").alias("class"))
@@ -244,83 +259,88 @@ def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.where(fit).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct()
 
 
-def classes(described_rows: DataFrame) -> DataFrame:
+def classes(described_rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(row of a distinct text, class) for all texts that have a link; from described() rows, written."""
     first = described_rows.groupBy("h1", "h2").agg(F.min("row").alias("row"))
     nodes = described_rows.join(first.select("row"), "row", "left_semi").where("n > 0")
-    keyed = nodes.select("row", "n", F.posexplode("bands").alias("band", "key"))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("small"), i * ROWS + 1, F.lit(ROWS))))
+    keyed = nodes.select("row", "n", F.explode(bands).alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("row", "n")).alias("first")).where("many > 1")
-    members = written(keyed.join(shared, "key").select("key", "band", "row", "n", "many", F.col("first.row").alias("head"), F.col("first.n").alias("m")))
-    bags = written(described_rows.select("row", "bag", "small", "bands").join(members.select("row").distinct(), "row", "left_semi"))
-    tested = written(compared(_pairs(members, "head", "row"), bags))
-    links = written(linked(tested, bags))
-    # buckets of two are settled by their one pair
-    held = members.where("many > 2").select("key", "band", "row", "n", "head")
-    used: DataFrame | None = None
-    step = 1
-    while True:
-        found = written(components(links))
-        placed = held.join(found.withColumnRenamed("node", "row"), "row", "left").withColumn("class", F.coalesce("class", "row"))
-        sizes = placed.groupBy("key", "class").agg(F.count(F.lit(1)).alias("in_class"))
-        largest = sizes.groupBy("key").agg(F.max(F.struct("in_class", "class")).alias("most"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("key", F.col("most.class").alias("main"))
-        open_ = placed.join(largest, "key")
-        if step == 1:
-            # classes only grow, so a settled bucket stays settled and the others are all that later rounds read
-            open_ = open_.withColumns({"a": F.least("head", "row"), "b": F.greatest("head", "row")}).join(tested, ["a", "b"], "left")
-            open_ = written(open_.withColumn("away", F.when(F.col("head") == F.col("row"), 0.0).otherwise(F.col("apart"))).drop("a", "b", "apart"))
-            held = open_.select("key", "band", "row", "n", "away")
-        outside = open_.where("class <> main").select("key", "band", "row", "n", "class", "away")
-        if used is not None:
-            outside = outside.join(used, ["key", "row"], "left_anti")
-        turn = outside.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("row"))).where(F.col("turn") <= step)
-        turn = written(turn.select("key", "band", "row", "n", "class", "away"))
-        if turn.isEmpty():
-            return found
-        step *= 2
-        used = turn.select("key", "row") if used is None else used.unionByName(turn.select("key", "row"))
-        near = written(_across(turn, open_, bags))
-        if not near.isEmpty():
-            links = links.unionByName(written(linked(near, bags)))
-
-
-def _tiles(members: DataFrame, bags: DataFrame, name: str) -> DataFrame:
-    """key, and up to TILE of its members as a list of structs."""
-    at = F.row_number().over(Window.partitionBy("key").orderBy("row"))
-    placed = members.select("key", "band", "row", "n", "class", "away", F.floor((at - 1) / TILE).alias("tile"))
-    full = placed.join(bags.select("row", "small", "bands"), "row")
-    return full.groupBy("key", "tile").agg(F.collect_list(F.struct("band", "row", "n", "class", "away", "small", "bands")).alias(name)).select("key", name)
-
-
-def _across(turn: DataFrame, members: DataFrame, bags: DataFrame) -> DataFrame:
-    """(a, b, apart) for those in turn and the members of other classes in their buckets, of pairs that can be links.
-
-    Tiles of signatures meet, not rows, so a pair that is no candidate is never a row. Each pair is looked at
-    in the first of the bands that it shares.
+    members = written(keyed.join(shared, "key").select("key", "row", "n", "many", F.col("first.row").alias("head"), F.col("first.n").alias("m")))
+    bags = written(described_rows.select("row", "n", "bag", "small").join(members.select("row").distinct(), "row", "left_semi"))
+    tested = written(compared(_pairs(members, "head", "row"), bags, threshold))
+    links = tested.where("link").select("a", "b")
+    # a bucket of two is settled by its one pair
+    held = members.where("many > 2").select("key", "row", "n")
+    near = written(components(tested.select("a", "b")))
+    edges = _across(held, near, bags.select("row", "small"))
+    blocks_ = written(components(tested.select("a", "b").unionByName(edges)))
+    found = written(components(links))
+    drop(members, near, edges)
+    more = _across(blocks_.select(F.col("class").alias("key"), F.col("node").alias("row")).join(bags.select("row", "n"), "row"), found, bags.select("row", "bag", "small"), threshold)
+    out = written(components(links.unionByName(more)))
+    drop(tested, blocks_, found, more, bags)
+    return out
+
+
+def _across(held: DataFrame, groups: DataFrame, bags: DataFrame, threshold: float | None = None) -> DataFrame:
+    """Edges (a, b) that join groups (node, class) within a key of held (key, row, n): of near signatures, or with a threshold, of verified links.
+
+    Tiles of a key's members outside its largest group meet tiles of all its members. Of each two tiles, only edges that join groups not joined before leave the task.
     """
-    met = _tiles(turn, bags, "x").join(_tiles(members, bags, "y"), "key").select("x", "y")
+    placed = held.join(groups.withColumnRenamed("node", "row"), "row", "left").withColumn("class", F.coalesce("class", "row"))
+    sizes = placed.groupBy("key", "class").agg(F.count(F.lit(1)).alias("in_class"), F.sum("n").alias("values"))
+    whole = sizes.groupBy("key").agg(F.max(F.struct("in_class", "class")).alias("most"), F.count(F.lit(1)).alias("kinds"), F.sum("in_class").alias("many"), F.sum("values").alias("values")).where("kinds > 1")
+    share = F.col("many") / TILE if threshold is None else F.greatest(F.col("many") / TILE, F.col("values") * WIDE / TILE_BYTES)
+    whole = whole.select("key", F.col("most.class").alias("main"), F.ceil(share).alias("tiles"))
+    open_ = written(placed.join(whole, "key").select("key", "row", "n", "class", (F.col("class") != F.col("main")).alias("out"), F.pmod(F.xxhash64("row"), F.col("tiles")).alias("tile")))
+    full = open_.join(bags, "row")
+    member = F.struct("row", "n", "class", "out", *[c for c in ("small", "bag") if c in bags.columns])
+    tiles = full.groupBy("key", "tile").agg(F.collect_list(member).alias("y"))  # TILE members, about
+    outside = full.where("out").groupBy("key", "tile").agg(F.collect_list(member).alias("x"))
+    met = outside.select("key", "x").join(tiles.select("key", "y"), "key").select("x", "y")
 
     def side(col):
         v = col.flatten()
         get = lambda k: v.field(k).to_numpy(zero_copy_only=False)
-        sig = np.frombuffer(b"".join(v.field("small").to_pylist()), np.uint8).reshape(len(v), -1)
-        return get("row"), get("n"), get("class"), get("away").astype(float), sig, v.field("bands").flatten().to_numpy().reshape(len(v), -1), get("band")
+        return get("row"), get("n"), get("class"), get("out"), _bytes(v.field("small")), v
+
+    def joining(kind, kind_b, x, y) -> list[int]:
+        """Of the edges x, y those that join what no earlier one has joined."""
+        up: dict[int, int] = {}
+
+        def top(c):
+            while (d := up.get(c, c)) != c:
+                up[c] = c = up.get(d, d)
+            return c
+
+        keep = []
+        for i, (c, d) in enumerate(zip(kind[x].tolist(), kind_b[y].tolist(), strict=True)):
+            if (c := top(c)) != (d := top(d)):
+                up[c] = d
+                keep.append(i)
+        return keep
 
     def run(batches):
         for t in batches:
             for i in range(t.num_rows):
-                (row, n, kind, away, sig, keys, band), (row_b, m, kind_b, away_b, sig_b, keys_b, _) = (side(t.column(k).slice(i, 1)) for k in (0, 1))
-                fit = np.minimum.outer(n, m) >= THRESHOLD * np.maximum.outer(n, m) - 1e-9
-                # distances to the bucket's first member bound the distance of a pair; where one is unknown, nothing is left out
-                fit &= (kind[:, None] != kind_b) & ~(np.abs(away[:, None] - away_b) > AT_MOST_APART + 1e-9)
+                (row, n, kind, _, sig, v), (row_b, m, kind_b, out_b, sig_b, w) = (side(t.column(k).slice(i, 1)) for k in (0, 1))
+                fit = (np.minimum.outer(n, m) >= THRESHOLD * np.maximum.outer(n, m) - 1e-9) & (kind[:, None] != kind_b)
+                # two members outside the largest group meet twice
+                fit &= ~out_b | (row[:, None] < row_b)
                 x, y = np.nonzero(fit)
-                share = (sig[x] != sig_b[y]).mean(axis=1)
-                near = np.flatnonzero(share <= AT_MOST_APART)
-                x, y, share = x[near], y[near], share[near]
-                keep = (keys[x] == keys_b[y]).argmax(axis=1) == band[x]
+                near = np.concatenate([np.flatnonzero((sig[x[k : k + 4096]] != sig_b[y[k : k + 4096]]).mean(axis=1) <= AT_MOST_APART) + k for k in range(0, max(len(x), 1), 4096)])
+                x, y = x[near], y[near]
+                if threshold is not None and len(x):
+                    ok = overlap(Bags(v.field("bag")), x, Bags(w.field("bag")), y) >= threshold
+                    x, y = x[ok], y[ok]
+                keep = joining(kind, kind_b, x, y)
                 one, two = row[x[keep]], row_b[y[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(share[keep])], ["a", "b", "apart"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], ["a", "b"])
 
-    return met.mapInArrow(run, "a long, b long, apart double").distinct()
+    edges = written(met.mapInArrow(lean(run), "a long, b long"))
+    drop(open_)
+    return edges
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -330,8 +350,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
 def _near(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     rows = written(described(docs, id_col, text))
-    own = rows.select("id", "row", "h1", "h2")
+    own = written(rows.select("id", "row", "h1", "h2"))
     found = classes(rows)
+    drop(rows)
     same = own.groupBy("h1", "h2").agg(F.min("row").alias("node"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"), F.count(F.lit(1)).alias("many"))
     same = same.join(found, "node", "left").withColumn("class", F.coalesce("class", "node"))
     whole = same.groupBy("class").agg(F.min("first").alias("first"), F.sum("many").alias("class_size"))

@@ -202,3 +202,8 @@ def sums_by(values: np.ndarray, before: np.ndarray) -> np.ndarray:
 def with_fields(df: DataFrame, **fields: T.DataType) -> T.StructType:
     """df's schema with more fields at its end."""
     return T.StructType([*df.schema.fields, *(T.StructField(k, v) for k, v in fields.items())])
+
+
+def numbered(df: DataFrame, **more: Column) -> DataFrame:
+    """df's columns as c0, c1, ..., whatever their names, and `more` of its expressions."""
+    return df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)], *[v.alias(k) for k, v in more.items()])

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import LOWER, blocks, documents, flat, remainder, with_fields
+from .base import LOWER, blocks, documents, flat, lean, numbered, remainder, with_fields
 
 TOP = 400
 UNKNOWN = "und"
@@ -77,7 +77,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def profiles(train: DataFrame, text: str = "text", lang: str = "lang", top: int = TOP) -> dict[str, np.ndarray]:
     """The top n-grams of each language over all of train; a few thousand numbers for each language."""
     rows = train.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    counts = rows.mapInArrow(_counted, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(lean(_counted), "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
     best = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
     out: dict[str, list[int]] = {}
@@ -116,8 +116,8 @@ def _lettered(texts: pa.ChunkedArray) -> np.ndarray:
     return out
 
 
-def predict(df: DataFrame, known: dict[str, np.ndarray], text: str = "text", top: int = TOP) -> DataFrame:
-    """df with lang_pred and score after its own columns."""
+def _predicted(df: DataFrame, known: dict[str, np.ndarray], text: str, top: int, named_only: bool) -> DataFrame:
+    """df's columns by number, lang_pred and score; named_only leaves out UNKNOWN rows."""
     names, shared = list(known), df.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
@@ -129,11 +129,22 @@ def predict(df: DataFrame, known: dict[str, np.ndarray], text: str = "text", top
                 ok = _lettered(t["t_"]) & (n > 0)
                 pred[ok] = np.array(names, object)[best[ok]]
                 score[ok] = np.clip(1 - far[best, np.arange(len(t))][ok] / (n[ok] * top), 0, 1)
-            yield from t.drop(["t_"]).append_column("lang_pred", pa.array(pred, pa.string())).append_column("score", pa.array(score)).to_batches()
+            out = t.drop(["t_"]).append_column("lang_pred", pa.array(pred, pa.string())).append_column("score", pa.array(score))
+            yield from (out.filter(pa.array(pred != UNKNOWN)) if named_only else out).to_batches()
+
+    src = numbered(df, t_=F.col(f"`{text}`"))
+    return src.mapInArrow(lean(run), with_fields(src.drop("t_"), lang_pred=T.StringType(), score=T.DoubleType()))
+
+
+def predict(df: DataFrame, known: dict[str, np.ndarray], text: str = "text", top: int = TOP) -> DataFrame:
+    """df with lang_pred and score after its own columns; columns of these names that df has are left out."""
+    rest = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("lang_pred", "score")])
+    return _predicted(rest, known, text, top, False).toDF(*rest.columns, "lang_pred", "score")
+
 
-    rest = [c for c in df.columns if c not in ("lang_pred", "score")]
-    src = df.select(*[F.col(f"`{c}`") for c in rest], F.col(text).alias("t_"))
-    return src.mapInArrow(run, with_fields(src.drop("t_"), lang_pred=T.StringType(), score=T.DoubleType()))
+def identified(df: DataFrame, known: dict[str, np.ndarray], text: str = "text", top: int = TOP) -> DataFrame:
+    """The rows of df in a language that is known, with df's columns alone, whatever their names."""
+    return _predicted(df, known, text, top, True).drop("lang_pred", "score").toDF(*df.columns)
 
 
 def language_profiles(docs: DataFrame, id_col: str = "doc_id") -> dict[str, np.ndarray]:

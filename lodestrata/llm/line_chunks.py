@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import blocks, documents, flat, mix, owners, span_hashes, written
-from .exact_dedup import _slots, repeated_filter
+from .base import blocks, documents, flat, lean, mix, owners, span_hashes, written
+from .exact_dedup import hits, repeated_filter
 
 WINDOW = 2
 SPREAD = 3
@@ -73,20 +73,12 @@ def paired(docs: DataFrame, id_col: str, text: str, window: int = WINDOW, spread
             h = pa.array(span_hashes(data, s[two], e[two + 1]).view(np.int64), mask=e[two + 1] - s[two] == 1)
             yield pa.RecordBatch.from_arrays([t["id"].combine_chunks(), t["row"].combine_chunks(), t["t_"].combine_chunks(), _lists(who[two], len(t), h), _lists(owner, len(t), pa.array(lines.astype(np.int32)))], ["id", "row", "text", "h", "chunks"])
 
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, row long, text string, h array<long>, chunks array<int>")
+    return src.mapInArrow(lean(run), f"id {src.schema['id'].dataType.simpleString()}, row long, text string, h array<long>, chunks array<int>")
 
 
-def _digests(h: np.ndarray) -> pa.Array:
-    """What the filter of repeats takes: 32 bytes, of which it reads 16."""
-    out = np.zeros((len(h), 4), np.uint64)
-    out[:, 0] = h.view(np.uint64)
-    out[:, 1] = mix(out[:, 0] ^ _M)
-    return pa.array([out[i].tobytes() for i in range(len(h))], pa.binary())
-
-
-def _all_digests(batches):
+def _all_hashes(batches):
     for b in batches:
-        yield pa.RecordBatch.from_arrays([_digests(b.column(0).flatten().drop_null().to_numpy())], ["sha"])
+        yield pa.RecordBatch.from_arrays([b.column(0).flatten().drop_null()], ["h"])
 
 
 def _gone(places: list[int], lines: list[str]) -> np.ndarray:
@@ -110,7 +102,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", win
     table = written(paired(docs, id_col, text, window, spread))
     kind = table.schema["id"].dataType.simpleString()
     # pass one: a filter of hashes that may be repeated; pass two: only those pairs' digests shuffle
-    plane, bits = repeated_filter(table.select("h").mapInArrow(_all_digests, "sha binary"))
+    plane, bits = repeated_filter(table.select("h").mapInArrow(lean(_all_hashes), "h long"), "h")
     shared = docs.sparkSession.sparkContext.broadcast(plane)
 
     def suspected(batches):
@@ -120,8 +112,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", win
             if not len(flat_h):
                 continue
             live = np.asarray(flat_h.is_valid())
-            slots = _slots(_digests(flat_h.fill_null(0).to_numpy()), bits)
-            hit = (shared.value[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1).all(axis=1) & live
+            hit = hits(flat_h.fill_null(0), shared.value, bits) & live
             who = np.repeat(np.arange(b.num_rows), many)
             place = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many)
             rows, sha, held, lines = np.flatnonzero(hit), [], -1, []
@@ -132,7 +123,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", win
             at = pa.array(who[rows])
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(place[rows].astype(np.int32)), pa.array(sha, pa.binary())], ["id", "row", "place", "same"])
 
-    suspects = table.select("id", "row", "text", "h").mapInArrow(suspected, f"id {kind}, row long, place int, same binary")
+    suspects = table.select("id", "row", "text", "h").mapInArrow(lean(suspected), f"id {kind}, row long, place int, same binary")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row", "place")
     first = suspects.groupBy("same").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1").withColumnRenamed("same", "same_")
     gone = suspects.join(first, F.col("same") == F.col("same_")).where(~((F.col("row") == F.col("first.row")) & F.col("place").between(F.col("first.place"), F.col("first.place") + 1)))
@@ -153,7 +144,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", win
                     col.append(x)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[0], pa.string()), *(pa.array(x, pa.int32()) for x in out[1:])], ["id", "text", "n_lines", "n_chunks", "removed_chunks", "removed_lines"])
 
-    out = table.join(gone, "row", "left").select("id", "text", "chunks", "gone").mapInArrow(kept, f"id {kind}, text string, n_lines int, n_chunks int, removed_chunks int, removed_lines int")
+    out = table.join(gone, "row", "left").select("id", "text", "chunks", "gone").mapInArrow(lean(kept), f"id {kind}, text string, n_lines int, n_chunks int, removed_chunks int, removed_lines int")
     return out.select(F.col("id").alias(id_col), F.col("text").alias(text), "n_lines", "n_chunks", "removed_chunks", "removed_lines")
 
 

@@ -27,12 +27,14 @@ whole. An empty table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import LOWER, blocks, documents, drop, flat, lean, mix, owners, span_hashes, with_fields, words, written
+from .base import LOWER, blocks, documents, drop, flat, lean, mix, numbered, owners, span_hashes, with_fields, words, written
+from .exact_dedup import among, settled
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -262,12 +264,16 @@ def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
 def classes(described_rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(row of a distinct text, class) for all texts that have a link; from described() rows, written."""
     first = described_rows.groupBy("h1", "h2").agg(F.min("row").alias("row"))
-    nodes = described_rows.join(first.select("row"), "row", "left_semi").where("n > 0")
+    nodes = written(described_rows.select("row", "n", "small").join(first.select("row"), "row", "left_semi").where("n > 0"))
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("small"), i * ROWS + 1, F.lit(ROWS))))
     keyed = nodes.select("row", "n", F.explode(bands).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("row", "n")).alias("first")).where("many > 1")
-    members = written(keyed.join(shared, "key").select("key", "row", "n", "many", F.col("first.row").alias("head"), F.col("first.n").alias("m")))
-    bags = written(described_rows.select("row", "n", "bag", "small").join(members.select("row").distinct(), "row", "left_semi"))
+    shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("row", "n")).alias("first")).where("many > 1"))
+    # most keys and most texts are alone; filters keep them out of the shuffles
+    known = keyed.where(among(shared.select("key"))("key"))
+    members = written(known.join(shared, "key").select("key", "row", "n", "many", F.col("first.row").alias("head"), F.col("first.n").alias("m")))
+    drop(nodes, shared)
+    own = members.select("row").distinct()
+    bags = written(described_rows.select("row", "n", "bag", "small").where(among(own)("row")).join(own, "row", "left_semi"))
     tested = written(compared(_pairs(members, "head", "row"), bags, threshold))
     links = tested.where("link").select("a", "b")
     # a bucket of two is settled by its one pair
@@ -361,21 +367,21 @@ def _near(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay, one of each class, with all their columns; matched by id and words together."""
+    """The rows of docs that stay, one of each class, with all their columns.
+
+    Rows of classes with one member alone keep their place; the others are matched by id and words together.
+    """
     names = docs.columns
-    kept = _near(docs, id_col, text).where("kept").select("h1", "h2", F.col("id").alias("keep"))
-    own = [f"c{i}" for i in range(len(names))]
-    key = own[names.index(id_col)]
-    rows = docs.toDF(*own).withColumn("t_", F.col(own[names.index(text)]))
+    several = _near(docs, id_col, text).where("class_size > 1").groupBy("h1", "h2").agg(F.max(F.when(F.col("kept"), F.struct("id"))).alias("x"))
+    several = written(several.select("h1", "h2", F.col("x").isNotNull().alias("has"), F.col("x.id").alias("keep")))
 
-    def run(batches):
-        for t in blocks(batches, text="t_"):
-            h1, h2 = _whole(*_word_hashes(t["t_"]))
-            yield from t.drop(["t_"]).append_column("h1", pa.array(h1.view(np.int64))).append_column("h2", pa.array(h2.view(np.int64))).to_batches()
+    @F.pandas_udf("h1 long, h2 long")
+    def whole(texts: pd.Series) -> pd.DataFrame:
+        h1, h2 = _whole(*_word_hashes(pa.array(texts, pa.string())))
+        return pd.DataFrame({"h1": h1.view(np.int64), "h2": h2.view(np.int64)})
 
-    seen = rows.mapInArrow(run, with_fields(rows.drop("t_"), h1=T.LongType(), h2=T.LongType()))
-    hit = seen.alias("r").join(kept.alias("k"), (F.col("r.h1") == F.col("k.h1")) & (F.col("r.h2") == F.col("k.h2")) & F.col(f"r.{key}").eqNullSafe(F.col("k.keep")), "left_semi")
-    return hit.dropDuplicates(["h1", "h2", key]).select(*own).toDF(*names)
+    rows = numbered(docs, h=whole(F.col(f"`{text}`").cast("string"))).select("*", "h.h1", "h.h2").drop("h")
+    return settled(rows, several, ["h1", "h2"], f"c{names.index(id_col)}").drop("h1", "h2").toDF(*names)
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import blocks, documents, with_fields, written
+from .base import blocks, documents, lean, with_fields, written
 from .pieces import byte_bpe
 
 CAPACITY = 2048
@@ -74,7 +74,7 @@ def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t_"))
     fields = {"piece": T.IntegerType(), "start": T.LongType(), "length": T.LongType(), "ids_crc32": T.LongType(), "task": T.IntegerType(), "local": T.LongType()}
-    return src.mapInArrow(run, with_fields(src.drop("t_"), **fields))
+    return src.mapInArrow(lean(run), with_fields(src.drop("t_"), **fields))
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[dict[str, np.ndarray], int]:
@@ -143,7 +143,7 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p["sequence"][at] + rank - p["rank"][at]), pa.array(p["offset"][at])], [*b.schema.names, "sequence_id", "offset"])
 
     ranked = pieces.join(base.select("task", "length", "base"), ["task", "length"]).withColumn("rank", F.col("local") + F.col("base")).drop("task", "local", "base")
-    return ranked.mapInArrow(run, with_fields(ranked, sequence_id=T.LongType(), offset=T.LongType())).drop("rank")
+    return ranked.mapInArrow(lean(run), with_fields(ranked, sequence_id=T.LongType(), offset=T.LongType())).drop("rank")
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text: str = "text") -> DataFrame:

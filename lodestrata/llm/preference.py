@@ -7,7 +7,7 @@ completion: those of assistant turns, with their end mark, are trained on.
 A turn is rendered as `<|role|>\\n`, its text, `<|end|>\\n`. Turns stand in the order of turn, role, text.
 
 Defined results: a null role counts as empty, a null text too, a null turn comes first. Rows without a
-conversation id are one conversation. A pair with one side only has an empty prefix, complete is false.
+conversation id are one conversation, which counts as chosen. A pair with one side only has an empty prefix, complete is false.
 Repeated rows are turns of their own. A pair's turns meet in one task, as its result is one row.
 Everything is DataFrame functions.
 """
@@ -43,7 +43,7 @@ def _mask(turns: Column) -> Column:
 def format_preferences(turns: DataFrame, pair: str = "pair_id", rejected: str = "is_rejected") -> DataFrame:
     """From rows (pair, rejected or not, turn, role, text): pair, complete, prefix_turns, prompt, and for each side completion and mask."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    one = turns.select(F.col(pair).alias("pair"), F.col(rejected).alias("side"), F.struct("turn", text("role").alias("role"), text("text").alias("text")).alias("t"))
+    one = turns.select(F.col(pair).alias("pair"), F.coalesce(F.col(rejected), F.lit(False)).alias("side"), F.struct("turn", text("role").alias("role"), text("text").alias("text")).alias("t"))
     both = one.groupBy("pair").agg(F.array_sort(F.collect_list(F.when(~F.col("side"), F.col("t")))).alias("c"), F.array_sort(F.collect_list(F.when(F.col("side"), F.col("t")))).alias("r"))
     shared = F.least(F.size("c"), F.size("r"))
     differs = F.filter(F.sequence(F.lit(1), shared), lambda i: (F.element_at("c", i)["role"] != F.element_at("r", i)["role"]) | (F.element_at("c", i)["text"] != F.element_at("r", i)["text"]))

@@ -12,18 +12,20 @@ their id; only their hashed inputs go there, at most WORDS_KEPT distinct buckets
 
 Defined results: a null text counts as empty, a null n_chars as the text's length. With labels of no
 or one kind, every score is the share of good labels (0.5 without labels). Empty texts get a score.
-Rows keep their repeats.
+Rows keep their repeats. score() adds the column `score` and leaves out one of that name that df has;
+accepted() returns df's own columns as they are, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import LOWER, SPACE, blocks, documents, flat, owners, remainder, span_hashes, sums_by, with_fields, words
+from .base import LOWER, SPACE, blocks, documents, flat, lean, numbered, owners, remainder, span_hashes, sums_by, with_fields, words
 
 BUCKETS = 1 << 15
 FACTORS = 8
@@ -87,8 +89,8 @@ class Machine:
         draw = np.random.default_rng(7)
         self.w = np.zeros(len(STATS) + BUCKETS, np.float32)
         self.v = draw.normal(0, 0.02, (len(STATS) + BUCKETS, FACTORS)).astype(np.float32)
-        self.fixed = rate if rate in (0.0, 1.0) else None
         self.rate = rate
+        self.fitted = False
 
     def parts(self, stats, before, bucket, value):
         """Linear part and factor sums of all rows, in time linear in the inputs."""
@@ -99,7 +101,7 @@ class Machine:
         return stats @ self.w[:s] + sums_by(self.w[s + bucket] * value, before) + 0.5 * (q**2 - square).sum(axis=1), q
 
     def score(self, stats, before, bucket, value) -> np.ndarray:
-        if self.rate in (0.0, 0.5, 1.0) and not self.w.any():
+        if not self.fitted:
             return np.full(len(stats), self.rate)
         z, _ = self.parts(stats, before, bucket, value)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -129,19 +131,20 @@ class Machine:
                     gv[which] += dv**2
                     self.w[which] -= step * dw / np.sqrt(gw[which])
                     self.v[which] -= step * dv / np.sqrt(gv[which])
+        self.fitted = True
         return self
 
 
-def _with_chars(df: DataFrame, text: str) -> DataFrame:
-    chars = F.col("n_chars").cast("long") if "n_chars" in df.columns else F.lit(None).cast("long")
-    return df.select(*[F.col(f"`{c}`") for c in df.columns], F.col(text).alias("t_"), chars.alias("m_"))
+def _chars(df: DataFrame):
+    return F.col("n_chars").cast("long") if "n_chars" in df.columns else F.lit(None).cast("long")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS) -> Machine:
     """From `rows` labelled documents at most; rows that are held out (remainder 2 of 4) are no part of it."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", 4) != 2)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select(F.col("doc_id").alias("l_"), F.col("quality").alias("q_"))
-    chosen = _with_chars(docs.select(id_col, text, *[c for c in ("n_chars",) if c in docs.columns]), text).join(F.broadcast(picked), F.col(id_col) == F.col("l_")).select("t_", "m_", F.col("q_").cast("int").alias("q_"))
+    own = docs.select(F.col(id_col).alias("i_"), F.col(text).alias("t_"), _chars(docs).alias("m_"))
+    chosen = own.join(F.broadcast(picked), F.col("i_") == F.col("l_")).select("t_", "m_", F.col("q_").cast("int").alias("q_"))
 
     def run(batches):
         for t in blocks(batches, text="t_"):
@@ -153,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
                     out[k].append(x.astype(kind).tobytes())
             yield pa.RecordBatch.from_arrays([*(pa.array(out[k], pa.binary()) for k in out), t["q_"].combine_chunks()], ["stats", "bucket", "value", "label"])
 
-    got = chosen.mapInArrow(run, "stats binary, bucket binary, value binary, label int").toArrow().sort_by([("stats", "ascending"), ("bucket", "ascending"), ("label", "ascending")])
+    got = chosen.mapInArrow(lean(run), "stats binary, bucket binary, value binary, label int").toArrow().sort_by([("stats", "ascending"), ("bucket", "ascending"), ("label", "ascending")])
     label = np.array(got["label"].to_pylist(), np.float64) > 0
     model = Machine(0.5 if not len(label) else float(label.mean()))
     if len(label) and 0 < label.mean() < 1:
@@ -165,16 +168,28 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     return model
 
 
-def score(df: DataFrame, model: Machine, text: str = "text") -> DataFrame:
-    """df with the column score after its own."""
+def _scored(df: DataFrame, model: Machine, text: str, at_least: float | None) -> DataFrame:
+    """df's columns by number, and `score`; with at_least, only the rows that reach it."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    src = _with_chars(df.drop("score"), text)
+    src = numbered(df, t_=F.col(f"`{text}`"), m_=_chars(df))
 
     def run(batches):
         for t in blocks(batches, text="t_"):
-            yield from t.drop(["t_", "m_"]).append_column("score", pa.array(shared.value.score(*inputs(t["t_"], t["m_"])), pa.float64())).to_batches()
+            out = t.drop(["t_", "m_"]).append_column("score", pa.array(shared.value.score(*inputs(t["t_"], t["m_"])), pa.float64()))
+            yield from (out if at_least is None else out.filter(pc.greater_equal(out["score"], at_least))).to_batches()
+
+    return src.mapInArrow(lean(run), with_fields(src.drop("t_", "m_"), score=T.DoubleType()))
+
+
+def score(df: DataFrame, model: Machine, text: str = "text") -> DataFrame:
+    """df with the column score after its own."""
+    rest = df.select(*[F.col(f"`{c}`") for c in df.columns if c != "score"])
+    return _scored(rest, model, text, None).toDF(*rest.columns, "score")
+
 
-    return src.mapInArrow(run, with_fields(src.drop("t_", "m_"), score=T.DoubleType()))
+def accepted(df: DataFrame, model: Machine, at_least: float, text: str = "text") -> DataFrame:
+    """The rows of df whose score is at_least or more, with df's columns alone."""
+    return _scored(df, model, text, at_least).drop("score").toDF(*df.columns)
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -256,3 +256,80 @@ def test_quality_learns_from_every_word_of_a_long_text(spark):
     texts = pa.chunked_array([pa.array([rows[r.doc_id][1] for r in used])])
     _, _, bucket, _ = quality.inputs(texts, pa.chunked_array([pa.array([1] * len(used))]))
     assert (model.w[len(quality.STATS) + np.unique(bucket)] != 0).mean() > 0.99
+
+
+CLASH = "doc_id long, text string, score double, lang_pred string, t_ string, m_ long, q_ long, l_ long, i_ long, c0 long, sha string, maybe boolean, maybe_ boolean, has boolean, keep long, known_ boolean, own_ long, h1 long, h2 long, h long, row long, id long, n_chars long, `kept` string, lang string"
+CLASHING = [(i, t, -5.0, "mine", "t", 1, 2, 3, 4, 5, "s", True, False, True, 7, False, 9, 1, 2, 3, 4, 5, 6, "k", "en" if i != 3 else "de") for i, t in ((1, "one two three four five six seven"), (2, "one two three four five six seven"), (3, "Der Hund und die Katze sind im Haus und schlafen"), (None, None), (4, "x" * 3_000_000 + " tail"), (4, "x" * 3_000_000 + " tail"))]
+
+
+def test_columns_named_as_the_operators_own(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame(CLASHING, CLASH)
+    model, known = quality.Machine(0.9), {"en": np.array([1, 2, 3], np.int64)}
+    assert {r.score for r in quality.score(docs, model).collect()} == {0.9}
+    same = quality.accepted(docs, model, 0.7)
+    assert same.columns == docs.columns and sorted(map(repr, same.collect())) == sorted(map(repr, docs.collect())) and quality.accepted(docs, model, 0.95).count() == 0
+    named = langid.identified(docs, known)
+    assert named.columns == docs.columns and {(r.doc_id, r.score, r.lang_pred) for r in named.collect()} == {(i, -5.0, "mine") for i in (1, 2, 3, 4)}
+    assert langid.predict(docs, known).columns[-2:] == ["lang_pred", "score"]
+    for f, want in ((exact_dedup.drop_exact_duplicates, [1, 3, 4, None]), (near_dedup.drop_near_duplicates, [1, 3, 4, None])):
+        out = f(docs)
+        assert out.columns == docs.columns and sorted((r.doc_id for r in out.collect()), key=str) == sorted(want, key=str)
+        assert {r.score for r in out.collect()} == {-5.0}
+    spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    step = docs
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        step = stage(spark, step, str(tmp_path))
+        assert step.columns == docs.columns, name
+    assert packing.pack(docs).where("doc_id = 4").groupBy("piece").count().agg({"count": "min"}).first()[0] == 2
+    assert len(ctw.scored(docs).collect()) == len(line_chunks.dedup_lines(docs).collect()) == len(media.read_back(media.store(docs)).collect()) == len(CLASHING)
+
+
+def test_filter_in_parts_gives_the_same(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 3000}", "", "", 1, "") for i in range(9000)], KIND)
+    want = sorted(map(repr, exact_dedup.exact_duplicates(docs).collect()))
+    assert want == sorted(map(repr, exact_dedup.exact_duplicates(docs, max_slots=1 << 16).collect()))
+    stay = exact_dedup.drop_exact_duplicates(docs, max_slots=1 << 16)
+    assert sorted(r.doc_id for r in stay.collect()) == list(range(3000))
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    """Classes over whole sf0.01: all links of overlap 0.8 and more, by exact bags of five words."""
+    d = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
+    bags, holders = {}, collections.defaultdict(list)
+    for i, t in rows:
+        w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+        bags[i] = collections.Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else collections.Counter()
+        for s in bags[i] or [()]:
+            holders[s].append(i)
+    size = {i: sum(b.values()) for i, b in bags.items()}
+    shared = collections.Counter()
+    for s, own in holders.items():
+        for x, a in enumerate(own):
+            for b in own[x + 1 :]:
+                shared[a, b] += min(bags[a][s], bags[b][s]) if s else 0
+    up = {i: i for i in bags}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    links = 0
+    for (a, b), n in shared.items():
+        if n >= 0.8 * (size[a] + size[b] - n):
+            links += 1
+            a, b = sorted((top(a), top(b)))
+            up[b] = a
+    got = {r.doc_id: r.class_id for r in near_dedup.op5_minhash_near_dedup(spark, d).collect()}
+    assert links > 50 and got == {i: top(i) for i in bags}
+
+
+def test_preference_without_id(spark):
+    kind = "conv_id long, turn long, role string, text string"
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (2, 0, "user", "c"), (3, 0, "user", "c")]
+    df = spark.createDataFrame(rows, kind).selectExpr("conv_id div 2 as pair_id", "pmod(conv_id, 2) = 1 as is_rejected", "turn", "role", "text")
+    got = {r.pair_id: r for r in preference.format_preferences(df).collect()}
+    assert got[None].chosen == "<|user|>\na<|end|>\n<|assistant|>\nb<|end|>\n" and not got[None].complete and got[1].complete

@@ -1,14 +1,17 @@
 """From raw documents to packed sequences: quality, language, exact copies, near copies, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept; all but the last return
-the columns of documents. run() writes each stage's result as Parquet in the shared folder and reads
-it again, so a lost executor costs one stage's tasks at most.
+the columns of documents, as they are and whatever further ones there are. run() writes each stage's result as
+Parquet in the shared folder and reads it again, so a lost executor costs one stage's tasks at most.
+
+Defined results: a null text counts as empty; the first stage scores it, the second drops it, as it has no letter.
+Rows with a null id are held out of training where the operators say so, and come last where the smallest id stays.
+Repeated rows count as copies. An empty table passes all stages empty.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lodestrata.llm import exact_dedup, langid, near_dedup, packing, quality
 from lodestrata.llm.base import documents, written
@@ -22,14 +25,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the factorisation machine, fitted to the labels, calls good."""
     ship(spark)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model).where(F.col("score") >= QUALITY_AT_LEAST).select(*docs.columns)
+    return quality.accepted(docs, model, QUALITY_AT_LEAST)
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the rank-order profiles know; texts without letters go."""
     ship(spark)
-    out = langid.predict(docs, langid.language_profiles(docs))
-    return out.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    return langid.identified(docs, langid.language_profiles(docs))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

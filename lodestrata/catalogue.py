@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import gf256, text
 from lodestrata.operators import media, queue, records
-from lodestrata.sources import captures
+from lodestrata.sources import armor, captures
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -48,10 +48,14 @@ def verify_entries(spark, d):
 
 
 @query("""
-SELECT stream, count(*) AS records, list_reduce(list(hash ORDER BY seq), lambda a, x: sha256(a || x), sha256('chain genesis' || stream::VARCHAR)) AS digest
-FROM (SELECT user_id AS stream, event_id AS seq, sha256(concat_ws('|', event_type, user_id::VARCHAR, event_id::VARCHAR)) AS hash FROM events) GROUP BY stream""")
+WITH e AS (SELECT user_id AS stream, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 64 AS ck, event_id AS seq, unhex(sha256(concat_ws('|', event_type, user_id::VARCHAR, event_id::VARCHAR))) AS hash FROM events),
+c AS (SELECT stream, ck, count(*) AS n, list(unhex(printf('%02x%02x%02x%02x00000000', seq % 256, seq // 256 % 256, seq // 65536 % 256, seq // 16777216 % 256)) || hash ORDER BY seq) AS parts FROM e GROUP BY stream, ck),
+b AS (SELECT stream, ck, n, list_reduce(parts, lambda x, y: x || y) AS entries FROM c),
+d AS (SELECT stream, sum(n)::BIGINT AS records, count(*) AS checkpoints, list(entries ORDER BY ck) AS l FROM b GROUP BY stream)
+SELECT stream, records, checkpoints, hex(list_reduce(l, lambda p, x: unhex(sha256('sstr-v0 checkpoint'::BLOB || p || x)), unhex(sha256(encode('sstr-v0 genesis' || stream::VARCHAR))))).lower() AS digest FROM d""")
 def hash_chain(spark, d):
-    return records.hash_chain(_entries(spark, d), "chain genesis")
+    """The checkpoint chain of each stream, its records hashed as entries."""
+    return records.hash_chain(_entries(spark, d))
 
 
 @query("SELECT seq FROM (SELECT unnest(range(0, (SELECT max(event_id) + 1 FROM events WHERE event_id % 3 <> 0))) AS seq) WHERE seq NOT IN (SELECT event_id FROM events WHERE event_id % 3 <> 0)")
@@ -109,12 +113,13 @@ def first_copies(spark, d):
 
 _STATUS = {"click": "queued", "view": "retry", "purchase": "retry-cookies", "error": "failed", "signup": "done"}
 _CASE = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _STATUS.items()) + " END"
-_QUEUE_SQL = f"(SELECT user_id AS owner, 'u' || event_id AS url, {_CASE} AS status, event_id % 3 AS attempts, ts AS added, event_id AS pos FROM events)"
-_ORD = "CASE status " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(queue.ORDER)) + " ELSE 3 END"
+_QUEUE_SQL = f"(SELECT user_id AS owner, 'u' || event_id AS url, {_CASE} AS status, event_id % 3 AS attempts, event_id % 7 = 0 AS cookie_tried, ts AS added, event_id AS pos FROM events)"
+# written out, not from the operator's list
+_ORD = "CASE status WHEN 'downloading' THEN 0 WHEN 'cookies' THEN 1 WHEN 'retry-cookies' THEN 2 WHEN 'checking' THEN 3 WHEN 'queued' THEN 4 WHEN 'retry' THEN 5 WHEN 'done' THEN 6 WHEN 'failed' THEN 7 WHEN 'rejected' THEN 8 ELSE 3 END"
 
 
 def _queue(spark, d):
-    return table(spark, d, "events").selectExpr("user_id as owner", "concat('u', event_id) as url", f"{_CASE} as status", "event_id % 3 as attempts", "ts as added", "event_id as pos")
+    return table(spark, d, "events").selectExpr("user_id as owner", "concat('u', event_id) as url", f"{_CASE} as status", "event_id % 3 as attempts", "event_id % 7 = 0 as cookie_tried", "ts as added", "event_id as pos")
 
 
 @query(f"SELECT status, count(*) AS n, {_ORD} AS ord FROM {_QUEUE_SQL} GROUP BY status")
@@ -128,7 +133,7 @@ def queue_order(spark, d):
 
 
 @query(f"""
-SELECT owner, url, pos, 'downloading' AS status, attempts + 1 AS attempts, status = 'retry-cookies' AS cookie_tried FROM (
+SELECT owner, url, pos, 'downloading' AS status, attempts + 1 AS attempts, cookie_tried OR status = 'retry-cookies' AS cookie_tried FROM (
  SELECT *, row_number() OVER (PARTITION BY owner ORDER BY CASE status WHEN 'retry-cookies' THEN 0 WHEN 'queued' THEN 1 ELSE 2 END, pos) AS rn FROM {_QUEUE_SQL} WHERE status IN ('retry-cookies', 'queued', 'retry')) WHERE rn = 1""")
 def claim_next(spark, d):
     return queue.claim(_queue(spark, d))
@@ -163,16 +168,16 @@ def failure_transition(spark, d):
     return ev.select("event_id", queue.after_failure(F.col("event_type") == "error", F.col("event_id") % 5 == 0, F.col("event_id") % 4).alias("after"))
 
 
-@query("(SELECT event_id % 101 AS id FROM events WHERE event_id % 37 = 0 EXCEPT SELECT event_id % 101 FROM events WHERE event_id % 41 = 0) UNION ALL (SELECT event_id % 101 FROM events WHERE event_id % 41 = 0 EXCEPT SELECT event_id % 101 FROM events WHERE event_id % 37 = 0)")
+@query("(SELECT event_id AS id FROM events WHERE event_id % 37 = 0 EXCEPT SELECT event_id FROM events WHERE event_id % 5 = 0) UNION ALL (SELECT event_id FROM events WHERE event_id % 5 = 0 EXCEPT SELECT event_id FROM events WHERE event_id % 37 = 0)")
 def membership_toggle(spark, d):
     ev = table(spark, d, "events")
-    of = lambda step: ev.where(F.col("event_id") % step == 0).select((F.col("event_id") % 101).alias("id")).distinct()
-    return queue.toggled(of(37), of(41))
+    of = lambda step: ev.where(F.col("event_id") % step == 0).select(F.col("event_id").alias("id")).distinct()
+    return queue.toggled(of(37), of(5))
 
 
 @query("""
 SELECT series, pos, value FROM (SELECT user_id AS series, event_id AS pos, value, lag(value) OVER w AS prev, lead(value) OVER w AS next FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
-WHERE prev IS NOT NULL AND prev <= value AND (next IS NULL OR next < value)""")
+WHERE pos > 0 AND (prev IS NULL OR prev <= value) AND (next IS NULL OR next < value)""")
 def replay_peaks(spark, d):
     return media.peaks(table(spark, d, "events").select(F.col("user_id").alias("series"), F.col("event_id").alias("pos"), "value"))
 
@@ -191,19 +196,21 @@ _PARENT = "CASE WHEN turn = 0 THEN NULL WHEN turn % 5 = 4 THEN 'gone' ELSE conv_
 
 
 @query(f"""
-WITH c AS (SELECT conv_id AS video, conv_id || '-' || turn AS id, {_PARENT} AS parent FROM conversations WHERE turn < 90),
+WITH c AS (SELECT conv_id AS video, conv_id || '-' || turn AS id, {_PARENT} AS parent FROM (SELECT DISTINCT conv_id, turn FROM conversations)),
 j AS (SELECT c.*, p.id AS there, p.parent AS above FROM c LEFT JOIN c p ON c.video = p.video AND c.parent = p.id)
 SELECT j.video, j.id, CASE WHEN j.there IS NULL THEN 'root' WHEN q.id IS NULL THEN 'reply' ELSE 'deeper' END AS kind FROM j LEFT JOIN c q ON j.video = q.video AND j.above = q.id""")
 def thread(spark, d):
-    rows = table(spark, d, "conversations").where("turn < 90")
+    """Every turn as a comment; a turn that a conversation has twice is one comment, a null turn is no comment's answer."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn").distinct()
     return media.thread(rows.selectExpr("conv_id as video", "concat(conv_id, '-', turn) as id", "CASE WHEN turn = 0 THEN NULL WHEN turn % 5 = 4 THEN 'gone' ELSE concat(conv_id, '-', turn div 2) END as parent"))
 
 
-@query("SELECT conv_id, string_agg(role || ': ' || left(text, 20), chr(10) ORDER BY turn) AS talk FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, sha256(string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text)) AS talk_sha256, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY conv_id")
 def ordered_agg(spark, d):
-    turn = F.struct("turn", F.concat("role", F.lit(": "), F.substring("text", 1, 20)).alias("x"))
+    """Whole conversations as one text each."""
+    turn = F.struct("turn", "role", "text", F.concat("role", F.lit(": "), "text").alias("x"))
     talk = F.array_join(F.transform(F.array_sort(F.collect_list(turn)), lambda t: t["x"]), "\n")
-    return table(spark, d, "conversations").groupBy("conv_id").agg(talk.alias("talk"))
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.sha2(talk, 256).alias("talk_sha256"), F.sum(F.length("text").cast("long")).alias("chars"))
 
 
 @query("SELECT page_id, regexp_replace(html, '<[^>]*>', '', 'g') AS bare FROM pages")
@@ -263,18 +270,22 @@ def export_tally(spark, d):
     return table(spark, d, "documents").groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("bytes"))
 
 
-@query(None)
+_CRC = "[" + ", ".join(str(x) for x in records.crc_table()) + "]"
+
+
+@query(f"""
+WITH p AS (SELECT doc_id, encode(text) AS b, unnest(range(0, octet_length(encode(text)), 45)) AS o FROM documents),
+h AS (SELECT doc_id, 'S' || printf('%09x', o) || ':' || rtrim(replace(replace(base64(b[o + 1 : o + 45]), '+', '-'), '/', '_'), '=') AS head FROM p)
+SELECT doc_id, head || ':' || printf('%08x', xor(list_reduce(list_transform(range(1, length(head) + 1), lambda i: ord(head[i])::BIGINT), lambda c, x: xor(c >> 8, ({_CRC})[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295)) AS line FROM h""")
 def armor_lines(spark, d):
     """Each text's bytes in pieces of 45, each an armor line at its offset in the text; an empty or null text has none."""
-    data = F.array(F.col("text").cast("binary"))
-    many = F.floor((F.octet_length("text") + 44) / 45).cast("int")
-    # the outer transform makes the text's bytes once, not for each piece
-    pieces = F.transform(data, lambda b: F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.struct((i.cast("long") * 45).alias("offset"), F.substring(b, i * 45 + 1, F.lit(45)).alias("bytes"))))[0]
-    lines = table(spark, d, "documents").where(many > 0).select("doc_id", F.explode(pieces).alias("p"))
+    lines = table(spark, d, "documents").select("doc_id", F.explode(armor.pieces(F.col("text").cast("binary"))).alias("p"))
     return lines.select("doc_id", text.armor_line(F.col("p.offset"), F.col("p.bytes")).alias("line"))
 
 
-@query(None)
+@query("""
+SELECT o_orderkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN format('{:.1f} KiB', n / 1024.0::DOUBLE) WHEN n < 1073741824 THEN format('{:.1f} MiB', n / 1048576.0::DOUBLE) ELSE format('{:.1f} GiB', n / 1073741824.0::DOUBLE) END AS shown
+FROM (SELECT o_orderkey, o_orderkey * 997 AS n FROM orders)""")
 def size_text(spark, d):
     return table(spark, d, "orders").select("o_orderkey", text.fmt_size(F.col("o_orderkey") * 997).alias("shown"))
 

@@ -20,6 +20,8 @@ def tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 EXP, LOG = tables()
+#: Products of all pairs of bytes.
+PRODUCT = np.where(np.outer(np.arange(256), np.arange(256)) == 0, 0, EXP[LOG[:, None] + LOG[None, :]]).astype(np.uint8)
 
 
 def multiply(a: np.ndarray, b: np.ndarray) -> np.ndarray:

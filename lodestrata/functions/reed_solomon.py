@@ -6,10 +6,12 @@ import functools
 
 import numpy as np
 
-from lodestrata.functions.gf256 import EXP, LOG, multiply
+from lodestrata.functions.gf256 import EXP, LOG, PRODUCT, multiply
 
 PARITY = 32
 DATA = 255 - PARITY
+#: Codewords that are mended at once.
+WORDS = 2048
 
 
 def _times(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -43,62 +45,102 @@ def parity(data: np.ndarray) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def _syndromes(word: np.ndarray) -> np.ndarray:
-    """The word's polynomial at 2^0 .. 2^31."""
-    power = np.arange(len(word))[::-1] * np.arange(PARITY)[:, None] % 255
-    return np.bitwise_xor.reduce(multiply(word[None, :], EXP[power]), axis=1)
+def _powers(n: int) -> np.ndarray:
+    """[k][place] -> 2^-(k * power of the place) in a word of n bytes."""
+    power = np.arange(n)[::-1]
+    return EXP[-np.outer(np.arange(PARITY + 1), power) % 255].astype(np.uint8)
 
 
-def _value(p: np.ndarray, log_x: np.ndarray) -> np.ndarray:
-    """A polynomial, lowest power first, at 2^log_x."""
-    return np.bitwise_xor.reduce(multiply(p[None, :], EXP[log_x[:, None] * np.arange(len(p)) % 255]), axis=1)
+def _syndromes(words: np.ndarray) -> np.ndarray:
+    """Each word's polynomial at 2^0 .. 2^31."""
+    out = np.zeros((len(words), PARITY), np.uint8)
+    for k in range(PARITY):
+        x = EXP[k]
+        for j in range(words.shape[1]):
+            out[:, k] = PRODUCT[out[:, k], x] ^ words[:, j]
+    return out
 
 
-def correct(word: np.ndarray, erased: np.ndarray | list[int] = ()) -> np.ndarray | None:
-    """The codeword within 2 * errors + erasures <= 32 of word; None where there is none.
+def _values(polys: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Polynomials (a row each, lowest power first) at every place of a word."""
+    out = np.zeros((len(polys), at.shape[1]), np.uint8)
+    for k in range(polys.shape[1]):
+        live = np.flatnonzero(polys[:, k])
+        if len(live):
+            out[live] ^= PRODUCT[polys[live, k][:, None], at[k][None, :]]
+    return out
+
+
+def _remainders(words: np.ndarray) -> np.ndarray:
+    """Parity of each word's data, added to the parity that it has: zero for a whole word, and a cheap way to its syndromes."""
+    return parity(np.ascontiguousarray(words[:, :-PARITY])) ^ words[:, -PARITY:]
+
 
-    Berlekamp-Massey starts from the erasures' locator, so one polynomial covers errors and erasures;
-    magnitudes are Forney's, and the result's syndromes are checked.
+def correct_all(words: np.ndarray, erased: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The codewords within 2 * errors + erasures <= 32 of words (a row each), and which rows have one; the others stay as they are.
+
+    Berlekamp-Massey runs on all rows side by side and starts from the erasures' locators, so one polynomial a row covers
+    errors and erasures; magnitudes are Forney's, and the results are checked.
     """
-    n = len(word)
-    erased = np.unique(np.asarray(erased, np.int64))
-    if not PARITY < n <= 255 or len(erased) > PARITY:
-        return None
-    out = word.astype(np.int64)
-    out[erased] = 0
-    s = _syndromes(out)
-    if not s.any():
-        return out.astype(np.uint8)
-    size = PARITY + 1
-    locator = np.zeros(size, np.int64)
-    locator[0] = 1
-    for at in erased:
-        locator[1:] ^= multiply(locator[:-1], EXP[n - 1 - at])
-    helper, degree = locator.copy(), len(erased)
-    for r in range(len(erased), PARITY):
-        gap = int(np.bitwise_xor.reduce(multiply(locator[: r + 1], s[r::-1])))
-        helper = np.append(0, helper[:-1])
-        if not gap:
+    m, n = words.shape
+    if erased is None:
+        erased = np.zeros((m, n), bool)
+    count = erased.sum(axis=1)
+    fit = count <= PARITY if PARITY < n <= 255 else np.zeros(m, bool)
+    out = np.where(erased, 0, words).astype(np.uint8)
+    if not fit.any():
+        return words, fit
+    # the remainder has the word's syndromes, as it differs from it by a codeword
+    s = _syndromes(_remainders(out))
+    locator = np.zeros((m, PARITY + 1), np.uint8)
+    locator[:, 0] = 1
+    place = np.argsort(~erased, axis=1, kind="stable")[:, :PARITY]
+    for j in range(int(np.minimum(count, PARITY).max(initial=0))):
+        on = np.flatnonzero(count > j)
+        x = EXP[n - 1 - place[on, j]].astype(np.uint8)
+        locator[on, 1:] ^= PRODUCT[locator[on, :-1], x[:, None]]
+    helper, degree = locator.copy(), count.astype(np.int64)
+    for r in range(PARITY):
+        gap = np.zeros(m, np.uint8)
+        for k in range(r + 1):
+            gap ^= PRODUCT[locator[:, k], s[:, r - k]]
+        on = count <= r
+        helper[on] = np.concatenate([np.zeros((on.sum(), 1), np.uint8), helper[on, :-1]], axis=1)
+        hit = on & (gap != 0)
+        if not hit.any():
             continue
-        better = locator ^ multiply(gap, helper)
-        if 2 * degree <= r + len(erased):
-            degree = r + 1 + len(erased) - degree
-            helper = multiply(locator, EXP[(255 - LOG[gap]) % 255])
-        locator = better
-    powers = np.arange(n)[::-1]
-    places = np.flatnonzero(_value(locator, (255 - powers) % 255) == 0)
-    top = np.flatnonzero(locator)
-    if len(places) != degree or top[-1] != degree:
-        return None
-    omega = _times(s, locator[: degree + 1])[:PARITY]
-    slope = locator[1:].copy()
-    slope[1::2] = 0
-    x = powers[places]
-    above, below = _value(omega, (255 - x) % 255), _value(slope, (255 - x) % 255)
-    if not below.all():
-        return None
-    out[places] ^= multiply(multiply(above, EXP[(255 - LOG[below]) % 255]), EXP[x])
-    return None if _syndromes(out).any() else out.astype(np.uint8)
+        better = locator ^ PRODUCT[gap[:, None], helper]
+        longer = hit & (2 * degree <= r + count)
+        degree = np.where(longer, r + 1 + count - degree, degree)
+        inverse = EXP[(255 - LOG[gap]) % 255].astype(np.uint8)
+        helper[longer] = PRODUCT[locator[longer], inverse[longer][:, None]]
+        locator[hit] = better[hit]
+    at = _powers(n)
+    roots = _values(locator, at) == 0
+    top = PARITY - np.argmax(locator[:, ::-1] != 0, axis=1)
+    fit &= (roots.sum(axis=1) == degree) & (top == degree)
+    omega = np.zeros((m, PARITY), np.uint8)
+    for k in range(PARITY):
+        omega[:, k:] ^= PRODUCT[locator[:, k][:, None], s[:, : PARITY - k]]
+    slope = locator[:, 1:].copy()
+    slope[:, 1::2] = 0
+    row, col = np.nonzero(roots & fit[:, None] & s.any(axis=1)[:, None])
+    some = np.unique(row)
+    spot = np.searchsorted(some, row), col
+    above, below = _values(omega[some], at)[spot], _values(slope[some], at)[spot]
+    size = PRODUCT[PRODUCT[above, EXP[(255 - LOG[below]) % 255]], EXP[n - 1 - col]]
+    out[row, col] ^= size
+    fit[row[below == 0]] = False
+    fit &= ~_remainders(out).any(axis=1)
+    return np.where(fit[:, None], out, words), fit
+
+
+def correct(word: np.ndarray, erased: np.ndarray | list[int] = ()) -> np.ndarray | None:
+    """One word's codeword, None where there is none; erased: places."""
+    lost = np.zeros((1, len(word)), bool)
+    lost[0, np.asarray(erased, np.int64)] = True
+    out, fit = correct_all(np.asarray(word, np.uint8)[None, :], lost)
+    return out[0] if fit[0] else None
 
 
 def _grid(size: int) -> tuple[np.ndarray, int]:
@@ -144,18 +186,18 @@ def decode(body: bytes, size: int, is_right, lost: np.ndarray | None = None) ->
         return first, 0
     if lost is not None:
         gone[cells] = lost
-    words = [(c, 255) for c in range(full)] + ([(full, last)] if last else [])
-    whole = np.zeros(full + 1, bool)
-    whole[:full] = (parity(np.ascontiguousarray(grid[:DATA, :full].T)) == grid[DATA:, :full].T).all(axis=1)
-    if last:
-        whole[full] = (parity(grid[None, : last - PARITY, full])[0] == grid[last - PARITY : last, full]).all()
-    whole &= ~gone.any(axis=0)
     mended = 0
-    for c, n in words:
-        if not whole[c]:
-            good = correct(grid[:n, c], np.flatnonzero(gone[:n, c]))
-            if good is None:
+    for cols, n in ((slice(0, full), 255), (slice(full, full + 1), last)):
+        if not n or not full and n == 255:
+            continue
+        words, lack = np.ascontiguousarray(grid[:n, cols].T), np.ascontiguousarray(gone[:n, cols].T)
+        bad = np.flatnonzero(_remainders(words).any(axis=1) | lack.any(axis=1))
+        for at in range(0, len(bad), WORDS):
+            some = bad[at : at + WORDS]
+            good, fit = correct_all(words[some], lack[some])
+            mended += int((good != words[some]).sum())
+            if not fit.all():
                 return None, mended
-            mended += int((good != grid[:n, c]).sum())
-            grid[:n, c] = good
+            words[some] = good
+        grid[:n, cols] = words.T
     return (out, mended) if is_right(out := plain()) else (None, mended)

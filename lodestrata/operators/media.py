@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 
 def peaks(points: DataFrame) -> DataFrame:
-    """Local maxima by series: not the first, no smaller than the one before, larger than the one after."""
+    """Local maxima by series: after the opening (pos > 0), no smaller than the one before, larger than the one after; at an end one neighbour is enough."""
     w = Window.partitionBy("series").orderBy("pos")
     near = points.withColumns({"prev": F.lag("value").over(w), "next": F.lead("value").over(w)})
-    return near.where("prev is not null and prev <= value and (next is null or next < value)").select("series", "pos", "value")
+    return near.where("pos > 0 and (prev is null or prev <= value) and (next is null or next < value)").select("series", "pos", "value")
+
+
+def chapter_ends(chapters: DataFrame) -> DataFrame:
+    """(video, pos, start, end, title): a chapter ends where it says, else with the video, else where it starts."""
+    return chapters.select("video", "pos", F.col("start_time").alias("start"), F.coalesce("end_time", "duration", "start_time").alias("end"), "title")
 
 
 def caption_text(lines: DataFrame) -> DataFrame:
@@ -37,6 +42,12 @@ def in_force(settings: DataFrame) -> DataFrame:
     return settings.groupBy("key").agg(F.max_by(F.struct("value", "source"), F.struct("weight", "line_no")).alias("x")).select("key", "x.value", "x.source")
 
 
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(id, words, tags, chapters) of (id, text, tags, chapters); null counts as none."""
+    words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"(?U)[\s\x1c-\x1f]+"), lambda w: w != ""))
+    return texts.select("id", words.alias("words"), F.coalesce(F.size(F.filter("tags", lambda t: t != "")), F.lit(0)).alias("tags"), F.coalesce(F.size("chapters"), F.lit(0)).alias("chapters"))
+
+
 def tail(lines: DataFrame, n: int) -> DataFrame:
     w = Window.partitionBy("source").orderBy(F.desc("line_no"))
     return lines.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).drop("rn")

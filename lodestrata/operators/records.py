@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,22 +19,64 @@ def verify_entries(entries: DataFrame, records: DataFrame) -> DataFrame:
     return out.withColumn("failed", F.col("mismatched") > 0)
 
 
-def hash_chain(records: DataFrame, genesis: str) -> DataFrame:
-    """Each stream's last digest: every hash in order of seq is chained to the digest before it."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "hash"))), lambda x: x["hash"])
-    start = F.sha2(F.concat(F.lit(genesis), F.col("stream").cast("string")), 256)
-    return records.groupBy("stream").agg(ordered.alias("h"), F.count(F.lit(1)).alias("records")).select("stream", "records", F.aggregate("h", start, lambda a, x: F.sha2(F.concat(a, x), 256)).alias("digest"))
-
-
-def missing(records: DataFrame) -> DataFrame:
-    """Numbers from 0 to the largest that no record has."""
-    top = records.agg(F.coalesce(F.max("seq") + 1, F.lit(0)).alias("n"))
-    every = top.select(F.explode(F.sequence(F.lit(0), F.greatest(F.floor(F.col("n") / 65536), F.lit(0)).cast("int"))).alias("block"), "n").select(F.explode(F.sequence(F.col("block").cast("long") * 65536, F.col("block").cast("long") * 65536 + 65535)).alias("seq"), "n").where("seq < n").select("seq")
-    return every.join(records.select("seq"), "seq", "left_anti")
+def hash_chain(records: DataFrame, window: int = 64) -> DataFrame:
+    """(stream, records, checkpoints, digest): the last digest of each stream's checkpoints, each over `window` entries (seq, hash as hex) and the digest before.
+
+    Entries of a checkpoint are put together by aggregates, 40 bytes each and `window` at most; the chain itself is
+    sequential by its nature, so one task goes through a stream's checkpoints in order and holds one of them.
+    """
+    place = F.row_number().over(Window.partitionBy("stream").orderBy("seq")) - 1
+    little = lambda c: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.lpad(F.hex(F.call_function("shiftright", c, i * 8).bitwiseAND(F.lit(255))), 2, "0")), "")
+    entry = F.concat(little(F.col("seq")), F.col("hash"))
+    cks = records.select("stream", "seq", F.floor(place / window).alias("ck"), entry.alias("entry")).groupBy("stream", "ck").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("seq", "entry"))).alias("all"))
+    rows = cks.select("stream", "ck", "n", F.unhex(F.array_join(F.transform("all", lambda e: e["entry"]), "")).alias("entries")).repartition("stream").sortWithinPartitions("stream", "ck")
+    kind = records.schema["stream"].dataType
+
+    def run(batches):
+        stream, seen, n, many, digest = None, False, 0, 0, b""
+
+        def row():
+            return pa.RecordBatch.from_pylist([{"stream": stream, "records": n, "checkpoints": many, "digest": digest.hex()}])
+
+        for b in batches:
+            for s, k, entries in zip(*(b.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                if not seen or s != stream:
+                    if seen:
+                        yield row()
+                    stream, seen, n, many, digest = s, True, 0, 0, hashlib.sha256(f"sstr-v0 genesis{s}".encode()).digest()
+                n, many, digest = n + k, many + 1, hashlib.sha256(b"sstr-v0 checkpoint" + digest + entries).digest()
+        if seen:
+            yield row()
+
+    return rows.mapInArrow(run, f"stream {kind.simpleString()}, records long, checkpoints long, digest string")
+
+
+def crc_table() -> list[int]:
+    """The CRC-32 of each byte, reflected, from its rule."""
+    out = []
+    for x in range(256):
+        for _ in range(8):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        out.append(x)
+    return out
+
+
+def missing(records: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """Numbers from 0 to the largest that no record has. Only blocks with a gap are counted out, by as many tasks as there are such blocks."""
+    spark = records.sparkSession
+    held = records.select("seq").distinct().withColumn("block", F.floor(F.col("seq") / block)).groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    top = records.agg(F.max("seq")).first()[0]
+    if top is None:
+        return records.select("seq").limit(0)
+    blocks = spark.range(top // block + 1).withColumnRenamed("id", "block").join(held, "block", "left")
+    size = F.least(F.lit(top + 1) - F.col("block") * block, F.lit(block))
+    open_ = blocks.where(F.coalesce("n", F.lit(0)) < size).select(F.explode(F.sequence(F.col("block") * block, F.col("block") * block + size - 1)).alias("seq"))
+    return open_.join(records.select("seq"), "seq", "left_anti")
 
 
 def islands(lost: DataFrame, block: int = 1 << 20) -> DataFrame:
     """Runs of neighbouring numbers: first, last, size. A number starts a run if the one before it isn't there."""
+    lost = lost.select("seq").distinct()  # a repeated number is one
     before = lost.select((F.col("seq") + 1).alias("seq"))
     after = lost.select((F.col("seq") - 1).alias("seq"))
     firsts, lasts = lost.join(before, "seq", "left_anti"), lost.join(after, "seq", "left_anti")

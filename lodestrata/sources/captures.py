@@ -5,17 +5,24 @@ header is mended from either copy, or the reader looks for the next mark. Files
 a task (a lost header can hide any number of bytes, so files aren't split); lost bodies come back from
 the parity records of their group by joins.
 
-Defined results: an empty file has no records; bytes that belong to no record are skipped; a record whose
-body can't be mended has a null `plain`; a record cut off by the file's end is left out.
+Ranges of a file that are known lost (erasures) go into the codec. Checkpoints chain the hashes of the records
+before them, so that a later change shows.
+
+Defined results: an empty file has no records; bytes that belong to no record are skipped and counted in the row
+of the record after them; a record whose body can't be mended has a null `plain`; a record cut off by the file's
+end is left out. Each file has one more row, of type `` and number -1: the bytes skipped at its end, and whether it
+is cut off.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import struct
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +49,19 @@ GROUP = 16
 CHUNK = 1 << 16
 TYPES = "HDPCE"
 
-SCHEMA = "path string, offset long, typ string, flags int, seq long, t_us long, plain_len long, body_crc long, plain binary, hdr_fixed int, body_fixed int, resync boolean"
+GENESIS, CHECKPOINT, SIGNED = b"sstr-v0 genesis", b"sstr-v0 checkpoint", b"sstr-v0 "
+CHECKPOINT_RECORDS = 64
+
+SCHEMA = "path string, offset long, typ string, flags int, seq long, t_us long, plain_len long, body_crc long, plain binary, hdr_fixed int, body_fixed int, resync boolean, skipped long, truncated boolean"
+
+
+def bare_header(typ: str, flags: int, seq: int, t_us: int, size: int, crc: int) -> bytes:
+    return HEADER.pack(ord(typ), flags, 0, seq, t_us, size, crc)
 
 
 def packed(typ: str, flags: int, seq: int, t_us: int, plain: bytes) -> bytes:
     """One record as it is stored."""
-    bare = HEADER.pack(ord(typ), flags, 0, seq, t_us, len(plain), zlib.crc32(plain))
+    bare = bare_header(typ, flags, seq, t_us, len(plain), zlib.crc32(plain))
     copy = rs.encode(bare + struct.pack("<I", zlib.crc32(bare)))
     return MARKS[0] + copy + MARKS[1] + copy + rs.encode(plain)
 
@@ -57,39 +71,139 @@ def parity_body(entries: list[tuple], bodies: list[bytes], rows: int = 2) -> byt
     return struct.pack("<H", len(entries)) + b"".join(ENTRY.pack(*e) for e in entries) + b"".join(gf256.parity(bodies)[:rows])
 
 
-def capture(chunks: list[tuple[int, bytes]], stream_id: str, rows: int = 2, deflate: bool = False, group: int = GROUP) -> bytes:
-    """A whole capture of (t_us, bytes) chunks: head and end twice, parity after each group; no checkpoints."""
-    out, seq, entries, bodies, digest, total = [MAGIC], 0, [], [], hashlib.sha256(), 0
+def record_hash(typ: str, flags: int, seq: int, t_us: int, plain: bytes) -> bytes:
+    """What a checkpoint's entry holds of a record."""
+    return hashlib.sha256(bare_header(typ, flags, seq, t_us, len(plain), zlib.crc32(plain)) + plain).digest()
+
+
+def genesis(stream_id: bytes) -> bytes:
+    return hashlib.sha256(GENESIS + stream_id).digest()
+
+
+def checkpoint_digest(prev: bytes, entries: list[tuple[int, bytes]]) -> bytes:
+    return hashlib.sha256(CHECKPOINT + prev + b"".join(seq.to_bytes(8, "little") + h for seq, h in entries)).digest()
+
+
+def signed_message(stream_id: bytes, digest: bytes) -> bytes:
+    """What a signer signs."""
+    return SIGNED + stream_id + digest
 
-    def put(typ: str, plain: bytes, t_us: int, flags: int = 0, times: int = 1) -> None:
+
+def pieces(chunks: Iterable[tuple[int, bytes]], stream_id: str, rows: int = 2, deflate: bool = False, group: int = GROUP, checkpoint: int | None = CHECKPOINT_RECORDS, meta: dict | None = None, sign: Callable[[bytes], str] | None = None) -> Iterator[bytes]:
+    """A capture of (t_us, bytes) chunks, piece by piece: head and end twice, parity after each group, a checkpoint twice after as many hashed records. Holds one group and one checkpoint's entries."""
+    head = {"format": FORMAT, "version": rows - 1, "stream_id": stream_id, **(meta or {})}
+    own = bytes.fromhex(stream_id) if len(stream_id) % 2 == 0 and all(c in "0123456789abcdef" for c in stream_id) else stream_id.encode()
+    seq, entries, bodies, window, prev, digest, total, many, last = 0, [], [], [], genesis(own), hashlib.sha256(), 0, 0, 0
+
+    def put(typ: str, plain: bytes, t_us: int, flags: int = 0, times: int = 1, hashed: bool = False) -> bytes:
         nonlocal seq
-        out.extend([packed(typ, flags, seq, t_us, plain)] * times)
+        if hashed:
+            window.append((seq, record_hash(typ, flags, seq, t_us, plain)))
         seq += 1
-
-    put("H", json.dumps({"format": FORMAT, "version": rows - 1, "stream_id": stream_id}).encode(), 0, times=2)
-    for at, (t_us, chunk) in enumerate(chunks):
+        return packed(typ, flags, seq - 1, t_us, plain) * times
+
+    def parity() -> bytes:
+        if not entries:
+            return b""
+        out = put("P", parity_body(entries, bodies, rows), last)
+        entries.clear()
+        bodies.clear()
+        return out
+
+    def check() -> bytes:
+        nonlocal prev
+        if checkpoint is None or not window:
+            return b""
+        d = checkpoint_digest(prev, window)
+        body = {"prev": prev.hex(), "entries": [[n, h.hex()] for n, h in window], "digest": d.hex(), "sig": sign(signed_message(own, d)) if sign else None, "stream": head}
+        window.clear()
+        prev = d
+        return put("C", json.dumps(body, separators=(",", ":")).encode(), last, times=2)
+
+    yield MAGIC + put("H", json.dumps(head).encode(), 0, times=2, hashed=True)
+    for t_us, chunk in chunks:
         small = zlib.compress(chunk) if deflate else chunk
         flags = DEFLATED if len(small) < 0.95 * len(chunk) else 0
-        body = small if flags else chunk
+        body, last = small if flags else chunk, t_us
         entries.append((seq, t_us, flags, len(body), zlib.crc32(body)))
         bodies.append(body)
-        put("D", body, t_us, flags)
+        yield put("D", body, t_us, flags, hashed=True)
         digest.update(chunk)
-        total += len(chunk)
-        if len(entries) == group or at + 1 == len(chunks):
-            put("P", parity_body(entries, bodies, rows), t_us)
-            entries, bodies = [], []
-    last = chunks[-1][0] if chunks else 0
-    put("E", json.dumps({"data_records": len(chunks), "bytes": total, "sha256": digest.hexdigest(), "interrupted": False}).encode(), last, times=2)
-    return b"".join(out)
-
-
-def _header(data: bytes, at: int) -> tuple[tuple, int] | None:
-    """Header fields at `at` and the bytes mended, from the first copy that can be read."""
-    for start in (at + 4, at + COPY + 4):
-        raw = data[start : start + 64]
-        is_right = lambda b: zlib.crc32(b[:28]) == int.from_bytes(b[28:32], "little")
-        bare, mended = rs.decode(raw, 32, is_right)
+        total, many = total + len(chunk), many + 1
+        due = checkpoint is not None and len(window) >= checkpoint
+        if len(entries) >= group or due:
+            yield parity()
+        if due:
+            yield check()
+    yield parity()
+    yield put("E", json.dumps({"data_records": many, "bytes": total, "sha256": digest.hexdigest(), "interrupted": False}).encode(), last, times=2, hashed=True)
+    yield check()
+
+
+def capture(chunks: list[tuple[int, bytes]], stream_id: str, rows: int = 2, deflate: bool = False, group: int = GROUP, checkpoint: int | None = None, meta: dict | None = None) -> bytes:
+    """A whole capture; without checkpoints unless asked."""
+    return b"".join(pieces(chunks, stream_id, rows, deflate, group, checkpoint, meta))
+
+
+def recorded(chunks: DataFrame, rows: int = 2, deflate: bool = False, checkpoint: int | None = CHECKPOINT_RECORDS) -> DataFrame:
+    """(stream, place, bytes): the captures of all streams of chunks (stream string, pos, t_us, chunk), in pieces in their order.
+
+    A stream's records are chained, so one task writes it, one piece after another; streams are spread over all tasks.
+    """
+    src = chunks.select("stream", "pos", "t_us", "chunk").repartition("stream").sortWithinPartitions("stream", "pos")
+
+    def run(batches):
+        flow = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in (0, 2, 3)), strict=True))
+        for stream, own in itertools.groupby(flow, key=lambda r: r[0]):
+            held, size, place = [], 0, 0
+            for piece in pieces(((t, c) for _, t, c in own), stream, rows, deflate, GROUP, checkpoint):
+                held.append(piece)
+                size += len(piece)
+                if size >= 1 << 20:
+                    yield _piece(stream, place, held)
+                    held, size, place = [], 0, place + 1
+            if held:
+                yield _piece(stream, place, held)
+
+    return src.mapInArrow(run, "stream string, place int, bytes binary")
+
+
+def _piece(stream: str, place: int, held: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([stream]), pa.array([place], pa.int32()), pa.array([b"".join(held)], pa.binary())], ["stream", "place", "bytes"])
+
+
+class Lost:
+    """Lost ranges [start, end) of a file, for masks of its parts; overlapping ones are joined."""
+
+    def __init__(self, ranges: Iterable[tuple[int, int]] = ()):
+        self.start, self.end = [], []
+        for a, b in sorted((a, b) for a, b in ranges if b > a):
+            if self.end and a <= self.end[-1]:
+                self.end[-1] = max(self.end[-1], b)
+            else:
+                self.start.append(a)
+                self.end.append(b)
+
+    def mask(self, a: int, b: int) -> np.ndarray | None:
+        """Which bytes of [a, b) are lost, None if none is."""
+        first = bisect_right(self.end, a)
+        out = None
+        while first < len(self.start) and self.start[first] < b:
+            out = np.zeros(b - a, bool) if out is None else out
+            out[max(self.start[first] - a, 0) : self.end[first] - a] = True
+            first += 1
+        return out
+
+
+def _header(data: bytes, at: int, lost: Lost) -> tuple[tuple, int] | None:
+    """Header fields at `at` and the bytes mended: from either copy, or from both, each with what the other lost."""
+    is_right = lambda b: zlib.crc32(b[:28]) == int.from_bytes(b[28:32], "little")
+    copies = [(data[i : i + 64], lost.mask(i, i + 64)) for i in (at + 4, at + COPY + 4)]
+    if any(m is not None for _, m in copies):
+        (one, a), (two, b) = ((np.frombuffer(c, np.uint8), np.zeros(64, bool) if m is None else m) for c, m in copies)
+        copies.append((np.where(a & ~b, two, one).tobytes(), a & b))
+    for raw, mask in copies:
+        bare, mended = rs.decode(raw, 32, is_right, mask)
         if bare is None:
             continue
         typ, flags, _, seq, t_us, size, crc = HEADER.unpack(bare[:28])
@@ -98,10 +212,10 @@ def _header(data: bytes, at: int) -> tuple[tuple, int] | None:
     return None
 
 
-def _next(data: bytes, at: int) -> tuple[int, tuple[tuple, int]] | None:
+def _next(data: bytes, at: int, lost: Lost) -> tuple[int, tuple[tuple, int]] | None:
     """The first place from `at` on with a readable header: `at` itself, or where a mark says one starts."""
     room = len(data) - 2 * COPY
-    if at <= room and (found := _header(data, at)):
+    if at <= room and (found := _header(data, at, lost)):
         return at, found
     seen = at
     while True:
@@ -109,32 +223,43 @@ def _next(data: bytes, at: int) -> tuple[int, tuple[tuple, int]] | None:
         if not marks:
             return None
         seen, start = min(marks)
-        if at <= start <= room and (found := _header(data, start)):
+        if at <= start <= room and (found := _header(data, start, lost)):
             return start, found
 
 
-def scan(data: bytes) -> Iterator[tuple]:
-    """Records of a capture, as SCHEMA has them after path."""
+def every(data: bytes, lost: Iterable[tuple[int, int]] = ()) -> Iterator[tuple]:
+    """Records of a capture, as SCHEMA has them after path, and last the row about the file's end."""
+    own = Lost(lost)
     at = len(MAGIC) if data.startswith(MAGIC) else 0
-    while hit := _next(data, at):
+    while hit := _next(data, at, own):
         start, ((typ, flags, seq, t_us, size, crc), mended) = hit
         body_at = start + 2 * COPY
         end = body_at + rs.body_length(size)
+        skipped = start - at
         if end > len(data):
+            yield len(data), "", 0, -1, 0, 0, 0, None, 0, 0, start != at, skipped, True
             return
-        plain, fixed = rs.decode(data[body_at:end], size, lambda b, crc=crc: zlib.crc32(b) == crc)
-        yield start, typ, flags, seq, t_us, size, crc, plain, mended, fixed, start != at
+        plain, fixed = rs.decode(data[body_at:end], size, lambda b, crc=crc: zlib.crc32(b) == crc, own.mask(body_at, end))
+        yield start, typ, flags, seq, t_us, size, crc, plain, mended, fixed, start != at, skipped, False
         at = end
+    yield len(data), "", 0, -1, 0, 0, 0, None, 0, 0, False, len(data) - at, False
+
+
+def scan(data: bytes, lost: Iterable[tuple[int, int]] = ()) -> Iterator[tuple]:
+    """The records alone."""
+    return (r for r in every(data, lost) if r[1])
 
 
 def scanned(files: DataFrame) -> DataFrame:
-    """Records of all rows of files (path, content)."""
+    """Rows of all files (path, content), with erasures (array of structs start, end) if there is such a column."""
+    with_lost = "erasures" in files.columns
 
     def run(batches):
         for batch in batches:
-            for path, content in zip(batch.column(0), batch.column(1), strict=True):
+            for i, (path, content) in enumerate(zip(batch.column(0), batch.column(1), strict=True)):
                 held, size = [], 0
-                for r in scan(content.as_py() or b""):
+                lost = [(e["start"], e["end"]) for e in batch.column(2)[i].as_py() or []] if with_lost else []
+                for r in every(content.as_py() or b"", lost):
                     held.append((path.as_py(), *r))
                     size += len(r[7] or b"")
                     if size > 1 << 22:
@@ -143,16 +268,36 @@ def scanned(files: DataFrame) -> DataFrame:
                 if held:
                     yield _batch(held)
 
-    return files.select("path", "content").mapInArrow(run, SCHEMA)
+    return files.select("path", "content", *["erasures"] * with_lost).mapInArrow(run, SCHEMA)
 
 
-_ARROW = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("typ", pa.string()), ("flags", pa.int32()), ("seq", pa.int64()), ("t_us", pa.int64()), ("plain_len", pa.int64()), ("body_crc", pa.int64()), ("plain", pa.binary()), ("hdr_fixed", pa.int32()), ("body_fixed", pa.int32()), ("resync", pa.bool_())])
+_ARROW = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("typ", pa.string()), ("flags", pa.int32()), ("seq", pa.int64()), ("t_us", pa.int64()), ("plain_len", pa.int64()), ("body_crc", pa.int64()), ("plain", pa.binary()), ("hdr_fixed", pa.int32()), ("body_fixed", pa.int32()), ("resync", pa.bool_()), ("skipped", pa.int64()), ("truncated", pa.bool_())])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
 
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """Captures at or below path: path, name, length, in the order of folders, then of their bytes; files go before folders."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", FILES).option("recursiveFileLookup", "true").load(path)
+    out = files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    depth = F.transform(F.split("path", "/"), lambda x, i: F.concat(F.when(i == F.size(F.split("path", "/")) - 1, F.lit("0")).otherwise(F.lit("1")), x))
+    return out.orderBy(depth.cast("array<string>"))
+
+
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    """(path, meta) of captures: the JSON of the first head record; no further record of a file is decoded."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", FILES).option("recursiveFileLookup", "true").load(path)
+
+    def run(batches):
+        for b in batches:
+            metas = [next((r[7].decode("utf-8", "replace") for r in scan(c.as_py() or b"") if r[1] == "H" and r[7] is not None), None) for c in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(metas, pa.string())], ["path", "meta"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, meta string")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Records of the capture at path, or of all FILES below it."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", FILES).option("recursiveFileLookup", "true")
@@ -160,12 +305,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def data_records(rows: DataFrame) -> DataFrame:
-    """(path, seq, t_us, flags, plain) of every data record that arrived whole or can be rebuilt; the others are left out.
+    """(path, seq, t_us, flags, plain, rebuilt) of every data record that arrived whole or can be rebuilt; the others are left out.
 
     A parity record lists its group; the group's bodies are joined to it and rebuilt where one or two lack.
     """
     named = rows.withColumnRenamed("path", "stream").withColumnRenamed("plain", "body")
-    first = records.first_copies(named).withColumnRenamed("stream", "path").withColumnRenamed("body", "plain")
+    first = records.first_copies(named.where("typ <> ''")).withColumnRenamed("stream", "path").withColumnRenamed("body", "plain")
     whole = first.where("typ = 'D' and plain is not null").select("path", "seq", "t_us", "flags", "plain")
     groups = first.where("typ = 'P' and plain is not null").select("path", F.col("seq").alias("p_seq"), F.col("plain").alias("par"))
 
@@ -195,7 +340,18 @@ def data_records(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in got], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["path", "seq", "t_us", "flags", "plain"])
 
     rebuilt = groups.join(bodies, ["path", "p_seq"]).select("path", "par", "have").mapInArrow(mend, "path string, seq long, t_us long, flags int, plain binary")
-    return whole.unionByName(rebuilt)
+    return whole.withColumn("rebuilt", F.lit(False)).unionByName(rebuilt.withColumn("rebuilt", F.lit(True)))
+
+
+def parity_entries(rows: DataFrame) -> DataFrame:
+    """(path, seq, plain_len) that the good parity records list."""
+
+    def run(batches):
+        for b in batches:
+            got = [(p, e[0], e[3]) for p, par in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for e in _entries(par)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in got], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["path", "seq", "plain_len"])
+
+    return rows.where("typ = 'P' and plain is not null").select("path", "plain").mapInArrow(run, "path string, seq long, plain_len long").distinct()
 
 
 def _entries(par: bytes) -> list[tuple]:
@@ -226,7 +382,7 @@ def survives(texts: DataFrame, hit: int = 12) -> DataFrame:
                 raw = (text or "").encode()
                 whole = capture([(i, raw[i : i + CHUNK]) for i in range(0, len(raw), CHUNK)], f"{key}")
                 bad = np.frombuffer(whole, np.uint8).copy()
-                for start, *_, size, _crc, _plain, _h, _b, _r in scan(whole):
+                for start, _typ, _flags, _seq, _t, size, *_ in scan(whole):
                     bad[start : start + COPY] ^= 0x55
                     bad[start + 2 * COPY : start + 2 * COPY + min(hit, rs.body_length(size))] ^= 0x33
                 found = [r for r in scan(bad.tobytes()) if r[1] == "D"]

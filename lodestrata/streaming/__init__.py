@@ -1 +1 @@
-
+"""Operators with state over unbounded tables."""

@@ -1,10 +1,15 @@
 """Telephony audio: mu-law, A-law and IMA ADPCM into 16-bit PCM, resampled, in WAV containers.
 
 mu-law and A-law expand by tables of 256 samples. ADPCM decodes step by step within a block and
-across all blocks of a file at once.
+across all blocks of all files of a batch at once.
+
+store() keeps a text's padded bytes as the samples of a mu-law or A-law file or as the blocks of an ADPCM file; any
+bytes are such, so nothing is lost. The codec follows from the bytes, so equal texts give equal files. The files are
+written to a table and read back from it; what they hold is expanded, resampled to 16 kHz and put into PCM files,
+from which the features are taken.
 
 Defined results: a null payload counts as empty. Empty audio gives empty PCM. A file that isn't a
-RIFF/WAVE container of a known codec raises ValueError. Rows keep their order and repeats; other
+RIFF/WAVE container of a known codec raises ValueError. Rows keep their repeats; other
 columns are left out of the result.
 """
 
@@ -18,10 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .base import blocks, documents
+from .base import BLOCK_BYTES, blocks, documents, lean, written
 
 #: WAVE format tags.
 FORMATS = {"pcm": 1, "alaw": 6, "mulaw": 7, "ima": 0x11}
+#: What store() chooses from, bytes of an ADPCM block and of the padding's unit, samples a second stored and as PCM.
+CODECS = ["mulaw", "alaw", "ima"]
+UNIT = 64
+RATE, PCM_RATE = 8000, 16000
 #: IMA ADPCM: how the step index moves for a code's three low bits.
 IMA_MOVES = np.array([-1, -1, -1, -1, 2, 4, 6, 8], np.int32)
 #: IMA ADPCM: the 89 step sizes of the format.
@@ -147,62 +156,86 @@ def resample(pcm: np.ndarray, rate: int, to: int, taps: int = 8) -> np.ndarray:
     return np.clip(np.rint(out), -32768, 32767).astype(np.int16)
 
 
-def to_pcm(df: DataFrame, media: str = "media", key: str = "doc_id", rate: int = 16000) -> DataFrame:
-    """key, samples, and `pcm`: each stored WAV file decoded, resampled to rate and stored as a PCM WAV file."""
+def expanded(files: list[bytes]) -> list[tuple[str, int, bytes, np.ndarray]]:
+    """Codec, rate, stored bytes and samples of each file; ADPCM blocks of one size are decoded side by side, whatever file they are of."""
+    read = [unwav(f) for f in files]
+    own: list[np.ndarray | None] = [None if codec == "ima" else expand(codec, data, block) for codec, _, block, data in read]
+    for size in {block for codec, _, block, _ in read if codec == "ima"}:
+        at = [i for i, (codec, _, block, _) in enumerate(read) if codec == "ima" and block == size]
+        many = np.array([len(read[i][3]) // size for i in at])
+        both = ima_decode(b"".join(read[i][3][: n * size] for i, n in zip(at, many, strict=True)), size)
+        edges = np.append(0, np.cumsum(many)) * ((size - 4) * 2 + 1)
+        for k, i in enumerate(at):
+            own[i] = both[edges[k] : edges[k + 1]]
+    return [(codec, rate, data, x) for (codec, rate, _, data), x in zip(read, own, strict=True)]
+
+
+def pcm_files(files: list[bytes], rate: int = PCM_RATE) -> list[tuple[str, bytes, bytes]]:
+    """Codec, stored bytes, and the PCM WAV file at `rate` of each file."""
+    return [(codec, data, wav("pcm", resample(x, own, rate).astype("<i2").tobytes(), rate)) for codec, own, data, x in expanded(files)]
+
+
+def to_pcm(df: DataFrame, media: str = "media", key: str = "doc_id", rate: int = PCM_RATE) -> DataFrame:
+    """key, samples, and `pcm`: each stored WAV file decoded, resampled to rate and stored as a PCM WAV file; a null file gives an empty one."""
 
     def run(batches):
-        for b in batches:
-            files = []
-            for x in b.column(1).to_pylist():
-                codec, own, block, data = unwav(x) if x else ("mulaw", rate, 1, b"")
-                files.append(resample(expand(codec, data, block), own, rate))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in files], pa.int64()), pa.array([wav("pcm", x.astype("<i2").tobytes(), rate) for x in files], pa.binary())], [key, "samples", "pcm"])
+        for t in blocks(batches, text=media):
+            empty = wav("mulaw", b"", rate)
+            out = [x[2] for x in pcm_files([x or empty for x in t.column(1).combine_chunks().to_pylist()], rate)]
+            yield pa.RecordBatch.from_arrays([t.column(0).combine_chunks(), pa.array([len(unwav(x)[3]) // 2 for x in out], pa.int64()), pa.array(out, pa.binary())], [key, "samples", "pcm"])
 
-    return df.select(key, media).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, samples long, pcm binary")
+    return df.select(key, media).mapInArrow(lean(run), f"`{key}` {df.schema[key].dataType.simpleString()}, samples long, pcm binary")
 
 
 def payload_of(text: bytes) -> bytes:
-    return text + b"\0" * (-len(text) % 64 or 64 * (not text))
+    return text + b"\0" * (-len(text) % UNIT or UNIT * (not text))
+
+
+def stored(payload: bytes) -> bytes:
+    """The payload as a WAV file; its codec follows from its checksum."""
+    codec = CODECS[zlib.crc32(payload) % len(CODECS)]
+    return wav(codec, payload, RATE, UNIT)
 
 
-def features(data: bytes) -> str:
-    """Of mu-law bytes at 8 kHz: samples, peak, root mean square, sign changes, and length and CRC-32 of the PCM at 16 kHz."""
-    pcm = MULAW[np.frombuffer(data, np.uint8)]
-    wide = pcm.astype(np.int32)
-    sign = pcm < 0
-    twice = resample(pcm, 8000, 16000)
-    return f"mulaw/8000;n={len(pcm)};peak={int(np.abs(wide).max(initial=0))};rms={int(np.sqrt(np.dot(pcm.astype(np.float64), pcm) / max(len(pcm), 1)))};turns={int(np.count_nonzero(sign[1:] != sign[:-1]))};pcm16k={len(twice)}:{zlib.crc32(twice.astype('<i2').tobytes()):08x}"
+def features(codec: str, pcm: bytes) -> str:
+    """Of a PCM file: codec, samples, peak, root mean square, sign changes, and the CRC-32 of the samples."""
+    _, rate, _, raw = unwav(pcm)
+    x = np.frombuffer(raw, "<i2")
+    sign = x < 0
+    peak = max(int(x.max(initial=0)), -int(x.min(initial=0)))
+    rms = int(np.sqrt(np.dot(x.astype(np.float32), x.astype(np.float32)) / max(len(x), 1)))
+    return f"{codec}/{RATE};pcm={rate};n={len(x)};peak={peak};rms={rms};turns={int(np.count_nonzero(sign[1:] != sign[:-1]))};crc={zlib.crc32(raw):08x}"
 
 
 def store(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, n_bytes and `media`: the padded bytes of each text as the samples of a mu-law WAV file, without loss."""
+    """key, n_bytes and `media`: the padded bytes of each text as a telephony WAV file, without loss."""
 
     def run(batches):
         for t in blocks(batches, text=text):
             texts = [x or b"" for x in t.column(1).combine_chunks().cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([t.column(0).combine_chunks(), pa.array(map(len, texts), pa.int64()), pa.array((wav("mulaw", payload_of(x)) for x in texts), pa.binary())], [key, "n_bytes", "media"])
+            yield pa.RecordBatch.from_arrays([t.column(0).combine_chunks(), pa.array(map(len, texts), pa.int64()), pa.array((stored(payload_of(x)) for x in texts), pa.binary())], [key, "n_bytes", "media"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_bytes long, media binary")
+    return df.select(key, text).mapInArrow(lean(run), f"`{key}` {df.schema[key].dataType.simpleString()}, n_bytes long, media binary")
 
 
-def read_back(stored: DataFrame, key: str = "doc_id") -> DataFrame:
+def read_back(files: DataFrame, key: str = "doc_id") -> DataFrame:
     """Digests and features from the stored files alone."""
 
     def run(batches):
-        for b in batches:
+        for t in blocks(batches, text="media", limit=BLOCK_BYTES // 2):
+            held = t.column(2).combine_chunks().to_pylist()
             cols: list[list] = [[] for _ in range(6)]
-            for file in b.column(2).to_pylist():
-                data = unwav(file)[3]
-                for c, v in zip(cols, (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(file), hashlib.sha256(file).hexdigest(), features(data)), strict=True):
+            for file, (codec, data, pcm) in zip(held, pcm_files(held), strict=True):
+                for c, v in zip(cols, (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(file), hashlib.sha256(file).hexdigest(), features(codec, pcm)), strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.string())], [key, *OUT])
+            yield pa.RecordBatch.from_arrays([t.column(0).combine_chunks(), t.column(1).combine_chunks(), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.string())], [key, *OUT])
 
-    return stored.mapInArrow(run, f"`{key}` {stored.schema[key].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return files.mapInArrow(lean(run), f"`{key}` {files.schema[key].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 OUT = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored files and what is read back from them; the files stream from one step to the next within a task."""
-    return read_back(store(documents(spark, sf_dir)))
+    """The files of all texts, written to a table, and what is read back from it."""
+    return read_back(written(store(documents(spark, sf_dir))))

@@ -6,8 +6,8 @@ a Tokenizer is rebuilt: unigram models from the scores, BPE models with the merg
 order. If no piece has the blank's marker after another character, no merge crosses the place before a
 run of markers, so each word is encoded for itself, and only once by a worker.
 
-Parity: each distinct word that a worker meets is also encoded by SentencePiece itself; should one differ,
-whole texts are compared from then on. Models that aren't word by word compare whole texts always.
+Batches are encoded by `threads` threads of the library. Parity: SentencePiece itself encodes and decodes every whole
+text, and both its ids and its text must be the same as here.
 
 Control pieces have no text; decoding drops them. Defined results: a null text counts as empty and has
 no ids. Rows keep their repeats; other columns are left out.
@@ -16,6 +16,7 @@ no ids. Rows keep their repeats; other columns are left out.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import re
 import struct
@@ -26,11 +27,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .base import blocks, documents
+from .base import blocks, documents, lean
 from .pieces import Encoder
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
+THREADS = 2
 UNIGRAM, BPE = 1, 2
 #: Kinds of pieces in the model file.
 NORMAL, UNKNOWN, CONTROL, DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -143,15 +145,12 @@ def _starts(cp: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(2)
-def codec(path: str, threads: int = 1):
-    """(doubts, encode, decode) of a model, kept by this worker; no doubts: all words so far have parity. threads: of the library, for one batch."""
-    from sentencepiece import SentencePieceProcessor
-
+def codec(path: str, threads: int = THREADS):
+    """(encode, decode) of a model, kept by this worker. threads: of the library, for one batch."""
     os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
     os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
     m = Model(path)
     whole = m.tokenizer()
-    doubts = [] if m.word_by_word and m.prefix else [True]
     plain = m.prefix and not m.trim and not m.charsmap
 
     def normalise(texts: list[str]) -> list[str]:
@@ -162,15 +161,7 @@ def codec(path: str, threads: int = 1):
     if m.word_by_word:
         word = m.tokenizer(whole=False)
         fast = getattr(word, "encode_batch_fast", word.encode_batch)
-        own = SentencePieceProcessor(model_file=path)
-
-        def both(found: list[str]) -> list[list[int]]:
-            ids = [e.ids for e in fast(found, add_special_tokens=False)]
-            if not doubts and own.encode([x.replace(MARK, " ")[1:] for x in found], num_threads=threads) != ids:
-                doubts.append(True)
-            return ids
-
-        kept = Encoder(both, _starts)
+        kept = Encoder(lambda found: [e.ids for e in fast(found, add_special_tokens=False)], _starts)
         encode = lambda texts: kept.ids(normalise(texts))
     else:
 
@@ -188,7 +179,30 @@ def codec(path: str, threads: int = 1):
         out = [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
         return [x[1:] if m.prefix and x[:1] == b" " else x for x in out]
 
-    return doubts, encode, decode
+    return encode, decode
+
+
+@lru_cache(2)
+def library(path: str):
+    """SentencePiece's own processor, kept by this worker."""
+    from sentencepiece import SentencePieceProcessor
+
+    return SentencePieceProcessor(model_file=path)
+
+
+def same_as_library(path: str, texts: list[str], ids: np.ndarray, offs: np.ndarray, back: list[str], threads: int = THREADS) -> np.ndarray:
+    """Whether SentencePiece gives each text the same ids, and those the same text."""
+    own = library(path)
+    theirs = own.encode(texts, num_threads=threads)
+    size = np.fromiter(map(len, theirs), np.int64, len(theirs))
+    same = size == np.diff(offs)
+    flat = np.fromiter(itertools.chain.from_iterable(theirs), np.uint32, int(size.sum()))
+    if same.all():
+        wrong = np.append(0, np.cumsum(flat != ids))
+        same &= wrong[offs[1:]] == wrong[offs[:-1]]
+    else:
+        same &= np.array([x == ids[a:b].tolist() for x, a, b in zip(theirs, offs.tolist(), offs[1:].tolist(), strict=False)], bool)
+    return same & np.array([x == y for x, y in zip(own.decode(theirs, num_threads=threads) if theirs else [], back, strict=True)], bool)
 
 
 def model_path(name: str = MODEL) -> str:
@@ -197,30 +211,23 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
-def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text: str = "text", threads: int = 1, parity: bool = True) -> DataFrame:
+def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text: str = "text", threads: int = THREADS, parity: bool = True) -> DataFrame:
     """id, ids, the decoded text, and with parity whether SentencePiece itself gives the same ids and text."""
     path = path or model_path()
 
     def run(batches):
-        doubts, encode, decode = codec(path, threads)
-        if parity:
-            from sentencepiece import SentencePieceProcessor
-
-            own = SentencePieceProcessor(model_file=path)
-        for t in blocks(batches, text=text, limit=1 << 20):
+        encode, decode = codec(path, threads)
+        for t in blocks(batches, text=text):
             texts = [x or "" for x in t[text].to_pylist()]
             ids, offs = encode(texts)
             back = [x.decode("utf-8", "replace") for x in decode(ids, offs)]
             cols = [t[id_col].combine_chunks(), pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(ids.astype(np.int32))), pa.array(back, pa.string())]
             if parity:
-                same = [True] * len(texts)
-                if doubts:
-                    same = [x == ids[a:b].tolist() for x, a, b in zip(own.encode(texts, num_threads=threads), offs.tolist(), offs[1:].tolist(), strict=False)]
-                cols.append(pa.array(same, pa.bool_()))
+                cols.append(pa.array(same_as_library(path, texts, ids, offs, back, threads), pa.bool_()))
             yield pa.RecordBatch.from_arrays(cols, [id_col, "ids", "decoded", "parity"][: len(cols)])
 
     kind = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, ids array<int>, decoded string" + (", parity boolean" if parity else "")
-    return docs.select(id_col, text).mapInArrow(run, kind)
+    return docs.select(id_col, text).mapInArrow(lean(run), kind)
 
 
 def digests(out: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -232,7 +239,7 @@ def digests(out: DataFrame, id_col: str = "doc_id") -> DataFrame:
             ids = [x.values.to_numpy().astype("<u4").tobytes() for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.as_py().encode()).hexdigest() for x in b.column(2)]), b.column(3)], [id_col, "n_ids", "ids_crc32", "decoded_sha256", "parity"])
 
-    return out.mapInArrow(run, f"`{id_col}` {out.schema[id_col].dataType.simpleString()}, n_ids long, ids_crc32 long, decoded_sha256 string, parity boolean")
+    return out.mapInArrow(lean(run), f"`{id_col}` {out.schema[id_col].dataType.simpleString()}, n_ids long, ids_crc32 long, decoded_sha256 string, parity boolean")
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,7 +106,7 @@ def test_sentencepiece(odd, none):
     own = SentencePieceProcessor(model_file=sentencepiece_codec.model_path())
     draw = random.Random(2)
     texts = ["".join(draw.choice("abcde theing  \n\t.,!9é中😀▁ß\x01") for _ in range(draw.randrange(25))) for _ in range(3000)]
-    _, encode, decode = sentencepiece_codec.codec(sentencepiece_codec.model_path())
+    encode, decode = sentencepiece_codec.codec(sentencepiece_codec.model_path())
     ids, offs = encode(texts)
     for i, (want, back) in enumerate(zip(own.encode(texts), decode(ids, offs), strict=True)):
         assert want == ids[offs[i] : offs[i + 1]].tolist() and back.decode("utf-8", "replace") == own.decode(want)
@@ -333,3 +333,73 @@ def test_preference_without_id(spark):
     df = spark.createDataFrame(rows, kind).selectExpr("conv_id div 2 as pair_id", "pmod(conv_id, 2) = 1 as is_rejected", "turn", "role", "text")
     got = {r.pair_id: r for r in preference.format_preferences(df).collect()}
     assert got[None].chosen == "<|user|>\na<|end|>\n<|assistant|>\nb<|end|>\n" and not got[None].complete and got[1].complete
+
+
+def _message(*fields):
+    """A protobuf message of (field, number, bytes or float)."""
+    import struct
+
+    def number(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    out = b""
+    for field, value in fields:
+        if isinstance(value, float):
+            out += number(field << 3 | 5) + struct.pack("<f", value)
+        elif isinstance(value, int):
+            out += number(field << 3) + number(value)
+        else:
+            out += number(field << 3 | 2) + number(len(value)) + value
+    return out
+
+
+@pytest.mark.parametrize("trim", [0, 1])
+def test_unigram_models_with_byte_fallback(spark, odd, tmp_path, trim):
+    """A model written by hand, as none is trained: pieces with scores, bytes for the rest."""
+    from sentencepiece import SentencePieceProcessor
+
+    words = ["\u2581", "\u2581the", "\u2581a", "t", "h", "e", "he", "er", "re", "a", "b", "w", "o", "r", "d", "\u2581wor", "wor", "ord", "\u2581word", "\u2581the\u2581word", "s"]
+    pieces = [(b"<unk>", 0.0, 2), (b"<s>", 0.0, 3), (b"</s>", 0.0, 3)] + [(f"<0x{i:02X}>".encode(), 0.0, 6) for i in range(256)] + [(w.encode(), -float(3 + i * 7 % 11), 1) for i, w in enumerate(words)]
+    model = _message(*[(1, _message((1, p), (2, s), (3, k))) for p, s, k in pieces], (2, _message((3, 1), (35, 1), (40, 0))), (3, _message((1, b"identity"), (3, 1), (4, trim), (5, 1))))
+    path = str(tmp_path / "unigram.model")
+    (tmp_path / "unigram.model").write_bytes(model)
+    own = SentencePieceProcessor(model_file=path)
+    draw = random.Random(5)
+    texts = ["", "the word", "  the  words ", "\u00e9\U0001f600 word"] + ["".join(draw.choice("the word abs\u00e9 ") for _ in range(draw.randrange(30))) for _ in range(500)]
+    encode, decode = sentencepiece_codec.codec(path)
+    ids, offs = encode(texts)
+    back = [x.decode("utf-8", "replace") for x in decode(ids, offs)]
+    same = sentencepiece_codec.same_as_library(path, texts, ids, offs, back)
+    assert [t for t, ok in zip(texts, same, strict=True) if not ok] == []
+    wrong = sentencepiece_codec.same_as_library(path, texts, ids, offs, ["x" + b for b in back])
+    assert not wrong.any() and own.get_piece_size() == len(pieces)
+    got = sentencepiece_codec.encoded(odd, path).collect()
+    assert all(r.parity for r in got) and len(got) == len(ROWS)
+
+
+def test_pcm_files_are_stored(spark, odd):
+    files = media.store(odd)
+    got = media.to_pcm(files).collect()
+    texts = sorted((r[1] or "").encode() for r in ROWS)
+    assert len(got) == len(ROWS)
+    want = collections.Counter()
+    for t in texts:
+        codec, rate, block, data = media.unwav(media.stored(media.payload_of(t)))
+        assert data == media.payload_of(t) and rate == 8000
+        pcm = media.resample(media.expand(codec, data, block), 8000, 16000)
+        want[pcm.astype("<i2").tobytes()] += 1
+    assert collections.Counter(media.unwav(bytes(r.pcm))[3] for r in got) == want and all(media.unwav(bytes(r.pcm))[:2] == ("pcm", 16000) for r in got)
+    assert {media.unwav(media.stored(media.payload_of(bytes([i]) * 70)))[0] for i in range(40)} == set(media.CODECS)
+    nothing = spark.createDataFrame([(1, None)], "doc_id long, media binary")
+    assert media.to_pcm(nothing).first().samples == 0
+
+
+def test_resampling_keeps_a_tone():
+    tone = (8000 * np.sin(np.arange(4000) * 2 * np.pi * 440 / 8000)).astype(np.int16)
+    up = media.resample(tone, 8000, 16000)
+    want = 8000 * np.sin(np.arange(8000) * 2 * np.pi * 440 / 16000)
+    assert len(up) == 8000 and np.abs(up[100:-100] - want[100:-100]).max() < 120
+    assert np.abs(media.resample(up, 16000, 8000)[100:-100] - tone[100:-100].astype(int)).max() < 200

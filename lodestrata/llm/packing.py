@@ -1,15 +1,19 @@
 """Packing token pieces into as few sequences as it can by bulk-synchronous best fit.
 
-Lengths are whole numbers up to the capacity, so pieces of one length are alike, and so are gaps of
-one size. Both are sorted by range and held as runs: a length and how many there are. In each round
-all pieces of the longest length left ask at once for the successor of that length among the gaps, the
-smallest gap that holds it; of several that ask for one run of gaps, ranks 0, 1, 2, ... get its gaps in
-order, the others go on to the next round; gaps are updated, and the round repeats until none is left.
-Pieces that no gap holds open new sequences.
+Lengths are whole numbers up to the capacity, so pieces of one length are alike, and so are gaps of one size. Both
+are sorted by range and held as runs: a length and the ranks of its pieces, a gap and the sequences that have it. A
+range is [2^k, 2^(k+1)). The pieces of a range are matched in rounds, longest range first. In a round each range that
+has pieces and gaps is a task: it sweeps its pieces from the longest down, each asks for its successor, the smallest
+gap there that holds it; of several that ask for one run of gaps, rank by rank gets a gap, and the rest ask for the next
+successor; a gap that got a piece is smaller and asked again. The first round is that of the pieces' own range. Pieces
+without a gap then go up: they are dealt by rank to the ranges above, as many to each as its gaps may hold. After a
+round gaps go to the range of their new size, and pieces left over begin again. When no range above has a gap, as many
+new sequences are opened as hold the pieces left. When all have a place, the range below begins.
 
-The runs number `capacity` at most for the pieces, and the plan has a line for each pair of runs that
-met; neither grows with the rows. The rows are ranked within their length from counts for each
-task, without gathering a length in one task, and look their place up in the plan.
+The tables of runs have as many lines as there are lengths and sequences of different make, whatever the number of
+pieces: they go from round to round through the driver. The rows are ranked within their length from counts for each
+task, without gathering a length in one task, and look their place up in the plan. `plan` is the sequential
+best fit decreasing of the same runs, to judge the rounds by.
 
 Defined results: a null text counts as empty (one end id, one piece). A null id is kept as it is; rows
 keep their repeats, each is packed for itself. An empty table gives an empty result. Other columns
@@ -21,6 +25,8 @@ from __future__ import annotations
 import heapq
 import zlib
 from bisect import bisect_left, insort
+from fractions import Fraction
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -121,6 +127,114 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[dict[str, np
     return dict(zip(("length", "rank", "many", "sequence", "offset"), table.T.copy(), strict=True)), opened
 
 
+_RUN = "at int, kind string, size long, first long, many long"
+_LINE = "kind string, at int, size long, first long, many long, sequence long, place long"
+
+
+def range_of(size: int) -> int:
+    return size.bit_length() - 1
+
+
+def _sweep(capacity: int):
+    """One range's round: its runs of pieces and of gaps to lines of the plan, pieces left, and gaps as they are then."""
+
+    def run(runs: pa.Table) -> pa.Table:
+        at = runs["at"][0].as_py()
+        items = sorted(((r["size"], r["first"], r["many"]) for r in runs.to_pylist() if r["kind"] == "piece"), key=lambda r: (-r[0], r[1]))
+        gaps: dict[int, list[tuple[int, int]]] = {}
+        out: list[tuple] = []
+
+        def put(size: int, first: int, many: int) -> None:
+            if size:
+                if size not in gaps:
+                    insort(sizes, size)
+                    gaps[size] = []
+                heapq.heappush(gaps[size], (first, many))
+
+        sizes: list[int] = []
+        for r in runs.to_pylist():
+            if r["kind"] == "gap":
+                put(r["size"], r["first"], r["many"])
+        for length, rank, left in items:
+            while left:
+                k = bisect_left(sizes, length)
+                if k == len(sizes):
+                    out.append(("piece", at, length, rank, left, None, None))
+                    break
+                gap = sizes[k]
+                first, many = heapq.heappop(gaps[gap])
+                if not gaps[gap]:
+                    del gaps[gap], sizes[k]
+                take = min(many, left)
+                out.append(("line", at, length, rank, take, first, capacity - gap))
+                if many > take:
+                    put(gap, first + take, many - take)
+                put(gap - length, first, take)
+                rank, left = rank + take, left - take
+        out += [("gap", range_of(size), size, first, many, None, None) for size in sizes for first, many in gaps[size]]
+        kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(zip(("kind", "at", "size", "first", "many", "sequence", "place"), kinds, strict=True))})
+
+    return run
+
+
+def rounds(spark: SparkSession, counts: dict[int, int], capacity: int = CAPACITY) -> tuple[dict[str, np.ndarray], int]:
+    """The plan's lines as plan() has them, and the number of sequences, by rounds over ranges."""
+    lines: list[tuple[int, int, int, int, int]] = []
+    gaps: list[tuple[int, int, int]] = []
+    opened = 0
+    for home in sorted({range_of(n) for n in counts}, reverse=True):
+        waiting = [(n, 0, counts[n]) for n in sorted(counts, reverse=True) if range_of(n) == home]
+        own_turn = True
+        while waiting:
+            there = sorted({range_of(g) for g, _, _ in gaps if range_of(g) >= home})
+            if own_turn and home in there:
+                dealt = {home: waiting}
+            else:
+                above = [r for r in there if r > home]
+                if not above:
+                    new = max(1, ceil(sum(Fraction(many, capacity // n) for n, _, many in waiting)))
+                    gaps.append((capacity, opened, new))
+                    opened, above = opened + new, [range_of(capacity)]
+                dealt = _dealt(waiting, {r: sum(g * many for g, _, many in gaps if range_of(g) == r) for r in above})
+            rows = [(at, "piece", *w) for at, own in dealt.items() for w in own] + [(range_of(g), "gap", g, first, many) for g, first, many in gaps if range_of(g) in dealt]
+            done = spark.createDataFrame(rows, _RUN).groupBy("at").applyInArrow(_sweep(capacity), _LINE).toArrow().to_pylist()
+            lines += [(r["size"], r["first"], r["many"], r["sequence"], r["place"]) for r in done if r["kind"] == "line"]
+            gaps = _joined([g for g in gaps if range_of(g[0]) not in dealt] + [(r["size"], r["first"], r["many"]) for r in done if r["kind"] == "gap"])
+            waiting = sorted(((r["size"], r["first"], r["many"]) for r in done if r["kind"] == "piece"), key=lambda w: (-w[0], w[1]))
+            own_turn = list(dealt) != [home]
+    table = np.array(sorted(lines), np.int64).reshape(-1, 5)
+    return dict(zip(("length", "rank", "many", "sequence", "offset"), table.T.copy(), strict=True)), opened
+
+
+def _dealt(waiting: list[tuple[int, int, int]], space: dict[int, int]) -> dict[int, list[tuple[int, int, int]]]:
+    """Runs of pieces, longest first, by range: as much to each as its gaps have space, the rest to the last."""
+    out: dict[int, list[tuple[int, int, int]]] = {}
+    ranges = sorted(space)
+    left = [space[r] for r in ranges]
+    k = 0
+    for n, first, many in waiting:
+        while many:
+            while k + 1 < len(ranges) and left[k] < n:
+                k += 1
+            take = many if k + 1 == len(ranges) else min(many, left[k] // n)
+            out.setdefault(ranges[k], []).append((n, first, take))
+            left[k] -= take * n
+            first, many = first + take, many - take
+    return out
+
+
+def _joined(gaps: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Runs of one size that follow each other as one."""
+    out: list[tuple[int, int, int]] = []
+    for size, first, many in sorted(gaps):
+        if out and out[-1][0] == size and out[-1][1] + out[-1][2] == first:
+            out[-1] = (size, out[-1][1], out[-1][2] + many)
+        else:
+            out.append((size, first, many))
+    return out
+
+
 def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces, as tokenised() gives them and written, with sequence_id and offset."""
     spark = pieces.sparkSession
@@ -128,13 +242,13 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = by_task.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")))
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a length
-    lines, _ = plan(counts, capacity)
+    lines, _ = rounds(spark, counts, capacity)
     shared = spark.sparkContext.broadcast(lines)
 
     def run(batches):
         p = shared.value
         # lengths and ranks as one rising number
-        wide = np.int64(max(counts.values()) + 1)
+        wide = np.int64(max(counts.values(), default=0) + 1)
         keys = p["length"] * wide + p["rank"]
         for b in batches:
             rank = b.column(b.schema.get_field_index("rank")).to_numpy()

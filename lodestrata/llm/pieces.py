@@ -7,6 +7,8 @@ the characters' classes; only pieces not met before by this worker go through th
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
 import unicodedata
 
@@ -80,18 +82,16 @@ class Encoder:
         self.first, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
     def _add(self, hashes: list[int], found: list[str]) -> None:
-        got = self.encode(found)
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for x in got for i in x), np.uint32, int(size.sum()))
+        flat, size = self.encode(found)
         n = len(self.known)
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while n + len(got) > len(self.first):
+        while n + len(size) > len(self.first):
             self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
         self.pool[self.used : self.used + len(flat)] = flat
-        self.first[n : n + len(got)] = self.used + np.append(0, np.cumsum(size)[:-1])
-        self.size[n : n + len(got)] = size
-        self.known.update(zip(hashes, range(n, n + len(got)), strict=True))
+        self.first[n : n + len(size)] = self.used + np.append(0, np.cumsum(size)[:-1])
+        self.size[n : n + len(size)] = size
+        self.known.update(zip(hashes, range(n, n + len(size)), strict=True))
         self.used += len(flat)
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -121,15 +121,53 @@ class Encoder:
         return out, total[np.searchsorted(at, offs)]
 
 
+def flattened(got: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids, one piece after another, and how many each piece has."""
+    size = np.fromiter(map(len, got), np.int64, len(got))
+    return np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(size.sum())), size
+
+
+def together(t, found: list[str], run: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of pieces. Those that begin with one space go through the library side by side in one text, where each is a word of its own; the others one by one."""
+    spaced = np.fromiter((len(x) > 1 and x[0] == " " and not x[1].isspace() for x in found), bool, len(found))
+    order = np.concatenate([np.flatnonzero(spaced), np.flatnonzero(~spaced)])
+    many = int(spaced.sum())
+    ids, sizes = [], []
+    for at in range(0, many, run):
+        own = [found[i] for i in order[at : min(at + run, many)]]
+        e = t.encode("".join(own), add_special_tokens=False)
+        size = np.bincount(np.array(e.word_ids, np.int64), minlength=len(own))
+        flat = np.array(e.ids, np.uint32)
+        if len(size) != len(own):  # the file splits otherwise than this module
+            flat, size = flattened([x.ids for x in t.encode_batch(own, add_special_tokens=False)])
+        ids.append(flat)
+        sizes.append(size)
+    flat, size = flattened([x.ids for x in getattr(t, "encode_batch_fast", t.encode_batch)([found[i] for i in order[many:]], add_special_tokens=False)])
+    flat, size = np.concatenate([*ids, flat]), np.concatenate([*sizes, size]).astype(np.int64)
+    back = np.argsort(order)
+    start = (np.cumsum(size) - size)[back]
+    size = size[back]
+    total = np.cumsum(size) - size
+    return flat[np.repeat(start - total, size) + np.arange(int(size.sum()))], size
+
+
+#: What the pattern above is called in a tokenizers file: this pre-tokenizer with its own pattern, and no normaliser.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+
+
 def byte_bpe(path: str, threads: int = 1) -> Encoder:
-    """The encoder for a tokenizers file with the byte-level pattern above, kept by this worker."""
+    """The encoder for a tokenizers file with the byte-level pattern above, kept by this worker. A file with another pattern or a normaliser raises ValueError."""
     if ("byte", path) not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        split = told.get("pre_tokenizer") or {}
+        if told.get("normalizer") or any(split.get(k) != v for k, v in BYTE_LEVEL.items()):
+            raise ValueError(f"{path} splits texts otherwise than by the byte-level pattern")
         t.encode_special_tokens = True
-        fast = getattr(t, "encode_batch_fast", t.encode_batch)
-        _encoders["byte", path] = Encoder(lambda x: [e.ids for e in fast(x, add_special_tokens=False)], starts_of)
+        _encoders["byte", path] = Encoder(lambda x: together(t, x), starts_of)
     return _encoders["byte", path]

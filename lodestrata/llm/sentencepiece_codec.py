@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .base import blocks, documents, lean
-from .pieces import Encoder
+from .pieces import Encoder, flattened
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -161,7 +161,7 @@ def codec(path: str, threads: int = THREADS):
     if m.word_by_word:
         word = m.tokenizer(whole=False)
         fast = getattr(word, "encode_batch_fast", word.encode_batch)
-        kept = Encoder(lambda found: [e.ids for e in fast(found, add_special_tokens=False)], _starts)
+        kept = Encoder(lambda found: flattened([e.ids for e in fast(found, add_special_tokens=False)]), _starts)
         encode = lambda texts: kept.ids(normalise(texts))
     else:
 

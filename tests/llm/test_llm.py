@@ -403,3 +403,24 @@ def test_resampling_keeps_a_tone():
     want = 8000 * np.sin(np.arange(8000) * 2 * np.pi * 440 / 16000)
     assert len(up) == 8000 and np.abs(up[100:-100] - want[100:-100]).max() < 120
     assert np.abs(media.resample(up, 16000, 8000)[100:-100] - tone[100:-100].astype(int)).max() < 200
+
+
+def test_rounds_of_packing_are_as_good_as_one_by_one(spark):
+    draw = random.Random(14)
+    for sizes, capacity in (([draw.randrange(1, 101) for _ in range(700)], 100), ([draw.choice([1, 2, 3, 50, 51, 700, 1025, 2048]) for _ in range(900)], 2048), ([min(2048, int(draw.expovariate(1 / 500)) + 1) for _ in range(5000)], 2048), ([], 2048), ([7], 7)):
+        counts = collections.Counter(sizes)
+        lines, n = packing.rounds(spark, counts, capacity)
+        held, seen = collections.Counter(), set()
+        spans = collections.defaultdict(list)
+        for length, rank, many, seq, at in zip(*(lines[k].tolist() for k in ("length", "rank", "many", "sequence", "offset")), strict=True):
+            held[length] += many
+            for i in range(many):
+                assert (length, rank + i) not in seen
+                seen.add((length, rank + i))
+                spans[seq + i].append((at, at + length))
+        assert held == counts and len(spans) <= n
+        for own in spans.values():
+            own.sort()
+            assert own[0][0] == 0 and all(a[1] == b[0] for a, b in zip(own, own[1:], strict=False)) and own[-1][1] <= capacity
+        _, best = packing.plan(counts, capacity)
+        assert len(spans) <= best * 1.01 + 2

@@ -161,7 +161,7 @@ def _grown(which: int, n: int) -> np.ndarray:
     steps = np.full(max(n, 1 << 16), (_M, _INV)[which], np.uint64)
     steps[0] = 1
     out = np.multiply.accumulate(steps)
-    if n <= 2 * BLOCK_BYTES:
+    if n <= BLOCK_BYTES + (1 << 16):
         _powers[which] = out
     return out[:n]
 

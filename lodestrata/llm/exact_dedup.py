@@ -19,7 +19,6 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,9 +129,9 @@ def lookup(spark: SparkSession, plane: np.ndarray, bits: int):
     """A column function of a digest: false if it is surely not in the filter. Only the digest goes to Python."""
     shared = spark.sparkContext.broadcast(plane)
 
-    @F.pandas_udf("boolean")
-    def maybe(sha: pd.Series) -> pd.Series:
-        return pd.Series(hits(pa.array(sha) if sha.dtype.kind == "i" else pa.array(sha, pa.binary()), shared.value, bits))
+    @F.arrow_udf("boolean")
+    def maybe(sha: pa.Array) -> pa.Array:
+        return pa.array(hits(sha, shared.value, bits), pa.bool_())
 
     return maybe
 
@@ -190,21 +189,21 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "
     drop(digest)
     key = f"c{names.index(id_col)}"
     rows = numbered(docs, sha=F.unhex(F.sha2(normalised(f"`{text}`").cast("binary"), 256)))
-    return settled(rows, first, ["sha"], key, max_slots).drop("sha").toDF(*names)
+    seen = rows.withColumn("maybe_", among(first.select("sha"), max_slots)("sha"))
+    return settled(seen, first, ["sha"], key).drop("sha").toDF(*names)
 
 
-def settled(rows: DataFrame, members: DataFrame, by: list[str], key: str, max_slots: int = MAX_SLOTS) -> DataFrame:
-    """Of rows those that no line of members (by, has, keep) is about, and of the others one with the id keep (column `key`) where has is true.
+def settled(seen: DataFrame, members: DataFrame, by: list[str], key: str) -> DataFrame:
+    """Of seen (columns with `maybe_`, false if surely no line of members is about the row) the rows that members (by, has, keep) doesn't know, and of the others one with the id keep (column `key`) where has is true.
 
-    A filter of the members' first column of `by` lets most rows pass without a shuffle.
+    Rows that aren't `maybe_` pass without a shuffle.
     """
-    seen = rows.withColumn("maybe_", among(members.select(by[0]), max_slots)(by[0]))
     ours = seen.where("maybe_").drop("maybe_")
     met = ours.join(members.withColumn("known_", F.lit(True)), by, "left")
     # the filter takes some digests for members': such rows are known to no line and stay, each for itself
     staying = met.where(F.col("known_").isNull() | F.col("has") & F.col(key).eqNullSafe(F.col("keep")))
     staying = staying.withColumn("own_", F.when(F.col("known_").isNull(), F.monotonically_increasing_id())).dropDuplicates([*by, key, "own_"])
-    return seen.where(~F.col("maybe_")).drop("maybe_").unionByName(staying.select(*rows.columns))
+    return seen.where(~F.col("maybe_")).drop("maybe_").unionByName(staying.select(*ours.columns))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,14 +27,13 @@ whole. An empty table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .base import LOWER, blocks, documents, drop, flat, lean, mix, numbered, owners, span_hashes, with_fields, words, written
-from .exact_dedup import among, settled
+from .exact_dedup import among, hits, repeated_filter, settled
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -375,13 +374,16 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     several = _near(docs, id_col, text).where("class_size > 1").groupBy("h1", "h2").agg(F.max(F.when(F.col("kept"), F.struct("id"))).alias("x"))
     several = written(several.select("h1", "h2", F.col("x").isNotNull().alias("has"), F.col("x.id").alias("keep")))
 
-    @F.pandas_udf("h1 long, h2 long")
-    def whole(texts: pd.Series) -> pd.DataFrame:
-        h1, h2 = _whole(*_word_hashes(pa.array(texts, pa.string())))
-        return pd.DataFrame({"h1": h1.view(np.int64), "h2": h2.view(np.int64)})
+    plane, bits = repeated_filter(several.select("h1"), "h1", times=1)
+    shared = docs.sparkSession.sparkContext.broadcast(plane)
 
-    rows = numbered(docs, h=whole(F.col(f"`{text}`").cast("string"))).select("*", "h.h1", "h.h2").drop("h")
-    return settled(rows, several, ["h1", "h2"], f"c{names.index(id_col)}").drop("h1", "h2").toDF(*names)
+    @F.arrow_udf("struct<h1:bigint,h2:bigint,maybe_:boolean>")
+    def whole(texts: pa.Array) -> pa.Array:
+        h1, h2 = (pa.array(h.view(np.int64)) for h in _whole(*_word_hashes(texts)))
+        return pa.StructArray.from_arrays([h1, h2, pa.array(hits(h1, shared.value, bits), pa.bool_())], ["h1", "h2", "maybe_"])
+
+    seen = numbered(docs, h=whole(F.col(f"`{text}`").cast("string"))).select("*", "h.*").drop("h")
+    return settled(seen, several, ["h1", "h2"], f"c{names.index(id_col)}").drop("h1", "h2").toDF(*names)
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

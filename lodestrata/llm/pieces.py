@@ -77,21 +77,23 @@ class Encoder:
 
     def __init__(self, encode, split):
         self.encode, self.split = encode, split
-        self.known: dict[int, int] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Of the pieces that are known: hashes in their order, and for each where its ids begin in the pool and how many there are."""
+        self.known = np.zeros(0, np.uint64)
+        self.first = self.size = np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.first, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
-    def _add(self, hashes: list[int], found: list[str]) -> None:
+    def _add(self, hashes: np.ndarray, found: list[str]) -> None:
+        """hashes in their order, none known yet."""
         flat, size = self.encode(found)
-        n = len(self.known)
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while n + len(size) > len(self.first):
-            self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
         self.pool[self.used : self.used + len(flat)] = flat
-        self.first[n : n + len(size)] = self.used + np.append(0, np.cumsum(size)[:-1])
-        self.size[n : n + len(size)] = size
-        self.known.update(zip(hashes, range(n, n + len(size)), strict=True))
+        at = np.searchsorted(self.known, hashes)
+        first = self.used + np.cumsum(size) - size
+        self.known, self.first, self.size = (np.insert(old, at, new) for old, new in ((self.known, hashes), (self.first, first), (self.size, size)))
         self.used += len(flat)
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -102,19 +104,20 @@ class Encoder:
         if not len(at):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         if len(self.known) > REMEMBERED:
-            self.known, self.used = {}, 0
+            self._forget()
         ends = np.append(at[1:], len(cp))
         sums = np.zeros(len(cp) + 1, np.uint64)
         np.cumsum(mix((cp.astype(np.uint64) + np.uint64(1)) * _MUL) * _grown(0, len(cp)), out=sums[1:])
         h = mix((sums[ends] - sums[at]) * _grown(1, len(cp) + 1)[at] + (ends - at).astype(np.uint64))
         own, where, back = np.unique(h, return_index=True, return_inverse=True)
-        keys = own.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        if new:
+        slot = np.searchsorted(self.known, own)
+        new = np.flatnonzero((slot == len(self.known)) | (self.known[np.minimum(slot, len(self.known) - 1)] != own)) if len(self.known) else np.arange(len(own))
+        if len(new):
             whole = "".join(texts)
             lo, hi = at[where[new]].tolist(), ends[where[new]].tolist()
-            self._add([keys[i] for i in new], [whole[a:b] for a, b in zip(lo, hi, strict=True)])
-        slot = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[back]
+            self._add(own[new], [whole[a:b] for a, b in zip(lo, hi, strict=True)])
+            slot = np.searchsorted(self.known, own)
+        slot = slot[back]
         size = self.size[slot]
         total = np.append(0, np.cumsum(size))
         out = self.pool[np.repeat(self.first[slot] - total[:-1], size) + np.arange(total[-1])]

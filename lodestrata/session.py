@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 ROOT = Path(__file__).resolve().parent
 #: A task holds a batch in the JVM and in Python at once, so batches of long rows must be short.
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-BATCH_BYTES = "4m"
+BATCH_BYTES = "2m"
 _shipped: set[str] = set()
 
 

@@ -7,7 +7,7 @@ import zlib
 import duckdb
 import pytest
 
-from lodestrata import catalogue
+from lodestrata import catalogue, catalogue_more  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -41,7 +41,7 @@ def addresses(spark, d):
     return _said(spark, d).select("event_id", links.as_url(c).alias("url"), links.talks(c).alias("talks"), links.param(c, "list").alias("list"))
 
 
-@query("SELECT page_id, sha256(regexp_replace(replace(html, '&amp;', '&'), '$', '') || ' <' || page_id || '> AB© &bogus; €') AS sha FROM pages")
+@query("""SELECT page_id, sha256(replace(replace(replace(html, '&quot;', '"'), '&copy;', '©'), '&amp;', '&') || ' <' || page_id || '> AB© &bogus; €') AS sha FROM pages""")
 def references_undone(spark, d):
     said = F.concat("html", F.lit(" &lt;"), F.col("page_id").cast("string"), F.lit("&gt; &#65;&#x42;&copy; &bogus; &#128;"))
     return table(spark, d, "pages").select("page_id", F.sha2(links.html_unescape(said), 256).alias("sha"))

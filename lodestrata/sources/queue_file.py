@@ -38,6 +38,7 @@ def write(entries: DataFrame, path: str) -> None:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     target, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
     fs = target.getFileSystem(conf)
+    fs.setWriteChecksum(False)  # other programs write this file too
     out = fs.create(part, True)
     out.write(bytearray(json.dumps(rows, indent=1).encode()))
     out.close()

@@ -294,7 +294,7 @@ def capture_audit(spark, d):
                 out.append(bytes(whole[: len(whole) - (int(key) % 3 == 2)]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["path", "content"])
 
-    seen = audit.audit(captures.scanned(docs.mapInArrow(damaged, "path string, content binary")))
+    seen = audit.audit(captures.scanned(docs.mapInArrow(damaged, "path string, content binary"), ends=True))
     return seen.select(F.col("path").cast("long").alias("doc_id"), "data", "parity", "checkpoints", "recovered", "data_lost", "unknown_lost", "resyncs", "verified", "truncated", "verdict", "payload_sha256")
 
 

@@ -37,14 +37,13 @@ def times_power(byte: Column, power: Column) -> Column:
 
 def parity(bodies: list[bytes]) -> tuple[bytes, bytes]:
     """P: XOR of the bodies, padded with zeros; Q: sum of 2^place * body."""
-    wide = np.zeros((len(bodies), max(map(len, bodies), default=0)), np.int64)
-    for row, b in zip(wide, bodies, strict=True):
-        row[: len(b)] = np.frombuffer(b, np.uint8)
-    p, q = np.zeros(wide.shape[1], np.int64), np.zeros(wide.shape[1], np.int64)
-    for i, row in enumerate(wide):
-        p ^= row
-        q ^= multiply(row, EXP[i % 255])
-    return p.astype(np.uint8).tobytes(), q.astype(np.uint8).tobytes()
+    n = max(map(len, bodies), default=0)
+    p, q = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
+    for i, b in enumerate(bodies):
+        row = np.frombuffer(b, np.uint8)
+        p[: len(row)] ^= row
+        q[: len(row)] ^= PRODUCT[EXP[i % 255]][row]
+    return p.tobytes(), q.tobytes()
 
 
 def rebuild(bodies: list[bytes | None], p: bytes, q: bytes | None) -> list[bytes] | None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 import numpy as np
 
@@ -172,32 +173,69 @@ def encode(plain: bytes) -> bytes:
     return grid[cells].tobytes()
 
 
-def decode(body: bytes, size: int, is_right, lost: np.ndarray | None = None) -> tuple[bytes | None, int]:
-    """The plain body and the number of bytes mended; None where it can't be told. `is_right` is its checksum test, `lost` marks lost bytes of body."""
-    cells, last = _grid(size)
-    full = cells.shape[1] - 1
-    grid, gone = np.zeros(cells.shape, np.uint8), np.zeros(cells.shape, bool)
-    grid[cells] = np.frombuffer(body, np.uint8)
-
-    def plain() -> bytes:
-        return grid[:DATA, :full].T.tobytes() + (grid[: last - PARITY, full].tobytes() if last else b"")
-
-    if is_right(first := plain()):
-        return first, 0
-    if lost is not None:
-        gone[cells] = lost
-    mended = 0
-    for cols, n in ((slice(0, full), 255), (slice(full, full + 1), last)):
-        if not n or not full and n == 255:
-            continue
-        words, lack = np.ascontiguousarray(grid[:n, cols].T), np.ascontiguousarray(gone[:n, cols].T)
-        bad = np.flatnonzero(_remainders(words).any(axis=1) | lack.any(axis=1))
-        for at in range(0, len(bad), WORDS):
-            some = bad[at : at + WORDS]
+class _Body:
+    """A received body as a grid of codewords (a column each), and which of its bytes are lost."""
+
+    def __init__(self, body: bytes, size: int, lost: np.ndarray | None):
+        self.cells, self.last = _grid(size)
+        self.full = self.cells.shape[1] - 1
+        self.grid = np.zeros(self.cells.shape, np.uint8)
+        self.grid[self.cells] = np.frombuffer(body, np.uint8)
+        self.lost = lost
+
+    def plain(self) -> bytes:
+        tail = self.grid[: self.last - PARITY, self.full].tobytes() if self.last else b""
+        return self.grid[:DATA, : self.full].T.tobytes() + tail
+
+    def damaged(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By codeword length: columns that need mending, their words, their lost places."""
+        gone = np.zeros(self.cells.shape, bool)
+        if self.lost is not None:
+            gone[self.cells] = self.lost
+        out = {}
+        for cols, n in ((np.arange(self.full), 255), (np.array([self.full]), self.last)):
+            if n and len(cols):
+                words, lack = np.ascontiguousarray(self.grid[:n, cols].T), np.ascontiguousarray(gone[:n, cols].T)
+                bad = np.flatnonzero(_remainders(words).any(axis=1) | lack.any(axis=1))
+                if n in out:
+                    out[n] = tuple(np.concatenate([x, y]) for x, y in zip(out[n], (cols[bad], words[bad], lack[bad]), strict=True))
+                else:
+                    out[n] = cols[bad], words[bad], lack[bad]
+        return out
+
+
+def decode_all(bodies: list[tuple[bytes, int, Callable[[bytes], bool], np.ndarray | None]]) -> list[tuple[bytes | None, int]]:
+    """For each (body, size, is_right, lost): the plain body and the bytes mended; None where it can't be told. Damaged codewords of all bodies are mended side by side."""
+    out: list[tuple[bytes | None, int] | None] = [None] * len(bodies)
+    held: dict[int, _Body] = {}
+    for i, (body, size, is_right, lost) in enumerate(bodies):
+        own = _Body(body, size, lost)
+        if is_right(first := own.plain()):
+            out[i] = first, 0
+        else:
+            held[i] = own
+    by_length: dict[int, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]] = {}
+    for i, own in held.items():
+        for n, part in own.damaged().items():
+            by_length.setdefault(n, []).append((i, *part))
+    mended, failed = dict.fromkeys(held, 0), set()
+    for n, parts in by_length.items():
+        whose = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])
+        cols, words, lack = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
+        for at in range(0, len(words), WORDS):
+            some = slice(at, at + WORDS)
             good, fit = correct_all(words[some], lack[some])
-            mended += int((good != words[some]).sum())
-            if not fit.all():
-                return None, mended
-            words[some] = good
-        grid[:n, cols] = words.T
-    return (out, mended) if is_right(out := plain()) else (None, mended)
+            for i, c, word, ok, fixed in zip(whose[some].tolist(), cols[some].tolist(), good, fit.tolist(), (good != words[some]).sum(axis=1).tolist(), strict=True):
+                mended[i] += fixed
+                held[i].grid[:n, c] = word
+                if not ok:
+                    failed.add(i)
+    for i, own in held.items():
+        plain = None if i in failed else own.plain()
+        out[i] = (plain if plain is not None and bodies[i][2](plain) else None), mended[i]
+    return out  # type: ignore[return-value]
+
+
+def decode(body: bytes, size: int, is_right: Callable[[bytes], bool], lost: np.ndarray | None = None) -> tuple[bytes | None, int]:
+    """The plain body and the number of bytes mended; None where it can't be told. `is_right` is its checksum test, `lost` marks lost bytes of body."""
+    return decode_all([(body, size, is_right, lost)])[0]

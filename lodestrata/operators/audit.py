@@ -1,6 +1,6 @@
 """The audit of captures: what arrived, was mended, was lost, and whether the checkpoints agree.
 
-Everything is counted by joins and aggregates over the rows of captures.scanned(); only the payload's own digest
+Everything is counted by joins and aggregates over the rows of captures.scanned() with ends; only the payload's own digest
 is made in order, by one task a capture, which holds one record. Copies of a record are told apart by their
 offset: one after a good copy is a repeat.
 
@@ -108,7 +108,7 @@ def _hashes(rows: DataFrame) -> DataFrame:
 
 
 def audit(rows: DataFrame, check: Callable[[str, bytes, str], bool] | None = None) -> DataFrame:
-    """A row for each capture: COUNTERS, truncated, max_seq, last_signed, meta, end, payload_sha256, verdict. rows: of captures.scanned(), written, as they are read more than once."""
+    """A row for each capture: COUNTERS, truncated, max_seq, last_signed, meta, end, payload_sha256, verdict. rows: of captures.scanned(ends=True), best written, as they are read more than once."""
     rows = _marked(rows)
     live, at_all = ~F.col("repeat") & (F.col("typ") != ""), F.col("typ") != ""
     kind = lambda t: F.col("typ") == t

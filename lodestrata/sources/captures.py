@@ -10,8 +10,8 @@ before them, so that a later change shows.
 
 Defined results: an empty file has no records; bytes that belong to no record are skipped and counted in the row
 of the record after them; a record whose body can't be mended has a null `plain`; a record cut off by the file's
-end is left out. Each file has one more row, of type `` and number -1: the bytes skipped at its end, and whether it
-is cut off.
+end is left out. A file's end is a row of its own, of type `` and number -1, for those who ask: the bytes skipped at
+its end, and whether it is cut off.
 """
 
 from __future__ import annotations
@@ -52,6 +52,9 @@ TYPES = "HDPCE"
 GENESIS, CHECKPOINT, SIGNED = b"sstr-v0 genesis", b"sstr-v0 checkpoint", b"sstr-v0 "
 CHECKPOINT_RECORDS = 64
 
+#: Bytes of bodies that a reader mends together.
+TOGETHER = 1 << 22
+
 SCHEMA = "path string, offset long, typ string, flags int, seq long, t_us long, plain_len long, body_crc long, plain binary, hdr_fixed int, body_fixed int, resync boolean, skipped long, truncated boolean"
 
 
@@ -228,21 +231,34 @@ def _next(data: bytes, at: int, lost: Lost) -> tuple[int, tuple[tuple, int]] | N
 
 
 def every(data: bytes, lost: Iterable[tuple[int, int]] = ()) -> Iterator[tuple]:
-    """Records of a capture, as SCHEMA has them after path, and last the row about the file's end."""
+    """Records of a capture, as SCHEMA has them after path, and last the row about the file's end. Bodies are mended some at a time."""
     own = Lost(lost)
     at = len(MAGIC) if data.startswith(MAGIC) else 0
+    held, bodies, size_held = [], [], 0
+
+    def mended() -> Iterator[tuple]:
+        for (start, typ, flags, seq, t_us, size, crc, fixed_head, resync, skipped), (plain, fixed) in zip(held, rs.decode_all(bodies), strict=True):
+            yield start, typ, flags, seq, t_us, size, crc, plain, fixed_head, fixed, resync, skipped, False
+        held.clear()
+        bodies.clear()
+
+    tail = None
     while hit := _next(data, at, own):
-        start, ((typ, flags, seq, t_us, size, crc), mended) = hit
+        start, ((typ, flags, seq, t_us, size, crc), fixed_head) = hit
         body_at = start + 2 * COPY
         end = body_at + rs.body_length(size)
-        skipped = start - at
         if end > len(data):
-            yield len(data), "", 0, -1, 0, 0, 0, None, 0, 0, start != at, skipped, True
-            return
-        plain, fixed = rs.decode(data[body_at:end], size, lambda b, crc=crc: zlib.crc32(b) == crc, own.mask(body_at, end))
-        yield start, typ, flags, seq, t_us, size, crc, plain, mended, fixed, start != at, skipped, False
+            tail = len(data), "", 0, -1, 0, 0, 0, None, 0, 0, start != at, start - at, True
+            break
+        held.append((start, typ, flags, seq, t_us, size, crc, fixed_head, start != at, start - at))
+        bodies.append((data[body_at:end], size, lambda b, crc=crc: zlib.crc32(b) == crc, own.mask(body_at, end)))
+        size_held += end - body_at
         at = end
-    yield len(data), "", 0, -1, 0, 0, 0, None, 0, 0, False, len(data) - at, False
+        if size_held >= TOGETHER:
+            yield from mended()
+            size_held = 0
+    yield from mended()
+    yield tail or (len(data), "", 0, -1, 0, 0, 0, None, 0, 0, False, len(data) - at, False)
 
 
 def scan(data: bytes, lost: Iterable[tuple[int, int]] = ()) -> Iterator[tuple]:
@@ -250,8 +266,8 @@ def scan(data: bytes, lost: Iterable[tuple[int, int]] = ()) -> Iterator[tuple]:
     return (r for r in every(data, lost) if r[1])
 
 
-def scanned(files: DataFrame) -> DataFrame:
-    """Rows of all files (path, content), with erasures (array of structs start, end) if there is such a column."""
+def scanned(files: DataFrame, ends: bool = False) -> DataFrame:
+    """Records of all files (path, content), with erasures (array of structs start, end) if there is such a column; with `ends` also the rows about the files' ends."""
     with_lost = "erasures" in files.columns
 
     def run(batches):
@@ -260,6 +276,8 @@ def scanned(files: DataFrame) -> DataFrame:
                 held, size = [], 0
                 lost = [(e["start"], e["end"]) for e in batch.column(2)[i].as_py() or []] if with_lost else []
                 for r in every(content.as_py() or b"", lost):
+                    if not r[1] and not ends:
+                        continue
                     held.append((path.as_py(), *r))
                     size += len(r[7] or b"")
                     if size > 1 << 22:

@@ -56,7 +56,7 @@ def test_audit_of_every_kind_of_damage(spark):
     raw = _payload()
     draw = random.Random(7)
     rows = [(k, _damaged(k, _whole(raw), draw)) for k in KINDS] + [("v0", _damaged("wipe2+4", _whole(raw, rows=1), draw)), ("empty", b""), ("junk", b"no capture at all")]
-    seen = captures.scanned(spark.createDataFrame(rows, "path string, content binary")).cache()
+    seen = captures.scanned(spark.createDataFrame(rows, "path string, content binary"), ends=True).cache()
     got = {r.path: r for r in audit.audit(seen).withColumn("report", audit.report()).collect()}
     sha = hashlib.sha256(raw).hexdigest()
     n = len(_data(_whole(raw)))
@@ -100,7 +100,7 @@ def test_lost_armor_is_mended_by_the_codec(spark):
     raw = _payload(30_000)
     whole = _whole(raw)
     lines = armor.armored(spark.createDataFrame([("a", whole)], "stream string, data binary")).where("line_no % 33 <> 7 or line_no < 0")
-    seen = captures.scanned(armor.files(lines)).cache()
+    seen = captures.scanned(armor.files(lines), ends=True).cache()
     r = audit.audit(seen).first()
     assert (r.verdict, r.payload_sha256) == (0, hashlib.sha256(raw).hexdigest()) and r.body_fixed > 0
 

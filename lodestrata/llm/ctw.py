@@ -19,7 +19,7 @@ bits_per_byte is of the scored bytes: the words, the spaces between them and the
 
 Defined results: a null text counts as empty, that is one end token. A null id counts as held out
 (crc32 of the empty text). Without training texts base_score is 0 and every bit has probability 1/2.
-Rows keep their repeats; other columns are left out.
+Rows keep their repeats; ids keep their type; other columns are left out.
 """
 
 from __future__ import annotations
@@ -337,9 +337,9 @@ def _pieces(data: np.ndarray, offs: np.ndarray, held: np.ndarray, limit: int = 2
         lo = hi
 
 
-_HEAD = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("keys", pa.binary()), ("n", pa.binary()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("words", pa.list_(pa.int64())), ("offs", pa.list_(pa.int64())), ("texts", pa.binary())])
+_HEAD = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("keys", pa.binary()), ("n", pa.binary()), ("ids", pa.list_(pa.string())), ("held", pa.list_(pa.bool_())), ("words", pa.list_(pa.int64())), ("offs", pa.list_(pa.int64())), ("texts", pa.binary())])
 _BACK = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("got", pa.binary()), ("keys", pa.binary()), ("mixed", pa.binary()), ("blocks", pa.list_(pa.int64())), ("places", pa.list_(pa.binary())), ("slot", pa.int32()), ("value", pa.float64())])
-_HEAD_DDL = "block long, part int, keys binary, n binary, ids array<long>, held array<boolean>, words array<long>, offs array<long>, texts binary"
+_HEAD_DDL = "block long, part int, keys binary, n binary, ids array<string>, held array<boolean>, words array<long>, offs array<long>, texts binary"
 _BACK_DDL = "block long, part int, got binary, keys binary, mixed binary, blocks array<long>, places array<binary>, slot int, value double"
 
 
@@ -408,7 +408,7 @@ def _bucket(buckets: int):
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mod: int = 10) -> DataFrame:
     """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
-    src = docs.select(F.col(id_col).cast("long").alias("id"), (remainder(id_col, mod) == 0).alias("held"), F.col(text).alias("t_"))
+    src = docs.select(F.col(id_col).cast("string").alias("id"), (remainder(id_col, mod) == 0).alias("held"), F.col(text).alias("t_"))
     buckets = max(BUCKETS * src.rdd.getNumPartitions(), 8)
     table = written(_blocks_of(src, buckets))
     back = written(table.where("part >= 0").select("block", "part", "keys", "n").groupBy("part").applyInArrow(_bucket(buckets), _BACK_DDL))
@@ -460,13 +460,14 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mod: int
         end = np.log10((texts + 0.1) / (total + 0.1 * (kinds + 1)))
         return pa.table(
             {
-                id_col: pa.array(head["ids"], pa.int64()), "held_out": pa.array(held), "n_tokens": pa.array(many + 1), "n_known": pa.array(seen.astype(np.int64) + (texts > 0)),
+                "id": pa.array(head["ids"], pa.string()), "held_out": pa.array(held), "n_tokens": pa.array(many + 1), "n_known": pa.array(seen.astype(np.int64) + (texts > 0)),
                 "train_tokens": pa.array(np.full(len(many), total, np.int64)), "base_score": pa.array(base + end), "score": pa.array(score), "bits_per_byte": pa.array(-score * np.log2(10) / count),
             }
         )
 
-    kind = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return heads.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(joined, kind)
+    kind = "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+    out = heads.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(joined, kind)
+    return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), *[c for c in out.columns if c != "id"])
 
 
 def op3_ctw_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -424,3 +424,124 @@ def test_rounds_of_packing_are_as_good_as_one_by_one(spark):
             assert own[0][0] == 0 and all(a[1] == b[0] for a, b in zip(own, own[1:], strict=False)) and own[-1][1] <= capacity
         _, best = packing.plan(counts, capacity)
         assert len(spans) <= best * 1.01 + 2
+
+
+def test_pairwise_part_equals_the_sum_over_pairs():
+    draw = np.random.default_rng(5)
+    model = quality.Machine()
+    model.w, model.v = (draw.normal(0, 0.3, x.shape).astype(np.float32) for x in (model.w, model.v))
+    model.fitted = True
+    texts = pa.chunked_array([pa.array(["a b a c", "", None, "One two, THREE 4 #5!\n" * 3])])
+    stats, before, bucket, value = quality.inputs(texts, pa.chunked_array([pa.array([7, None, 0, 60])]))
+    got = model.score(stats, before, bucket, value)
+    for i in range(4):
+        at = list(range(len(quality.STATS))) + [len(quality.STATS) + int(b) for b in bucket[before[i] : before[i + 1]]]
+        x = [*stats[i], *value[before[i] : before[i + 1]]]
+        z = sum(float(model.w[a]) * v for a, v in zip(at, x, strict=True))
+        z += sum(float(model.v[at[j]].astype(float) @ model.v[at[k]].astype(float)) * x[j] * x[k] for j in range(len(at)) for k in range(j + 1, len(at)))
+        assert abs(got[i] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-3
+
+
+def test_languages_equal_brute_force(spark):
+    """Byte n-grams counted one by one, ranks compared one by one."""
+    draw = random.Random(12)
+    vocab = {"en": "the and of to in is house water".split(), "de": "der und die das ist haus wasser nicht".split(), "fr": "le et la de est maison eau \u00e9t\u00e9".split()}
+    rows = [(i, " ".join(draw.choice(vocab[k]) for _ in range(draw.randrange(1, 40))), k) for i in range(60) for k in [draw.choice(list(vocab))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def grams(text):
+        gap = re.sub(rb"[^a-z\x80-\xff]+", b" ", (" " + text.lower() + " ").encode())
+        out = collections.Counter()
+        for n in (1, 2, 3):
+            for i in range(len(gap) - n + 1):
+                g = gap[i : i + n]
+                if (n == 1 and g != b" ") or (n == 2 and g != b"  ") or (n == 3 and g[1:2] != b" "):
+                    out[g] += 1
+        return out
+
+    def code(g):
+        # as profiles order ties: the number of the n-gram's bytes, first byte highest
+        return int.from_bytes(g.ljust(3, b"\0"), "big")
+
+    known = langid.profiles(docs, top=50)
+    top = {}
+    for k in vocab:
+        total = collections.Counter()
+        for _, t, lang in rows:
+            if lang == k:
+                total += grams(t)
+        top[k] = [code(g) for g, n in sorted(total.items(), key=lambda x: (-x[1], code(x[0])))][:50]
+    assert {k: v.tolist() for k, v in known.items()} == top
+    got = {r.doc_id: r for r in langid.predict(docs, known, top=50).collect()}
+    for i, t, _ in rows:
+        own = [code(g) for g, n in sorted(grams(t).items(), key=lambda x: (-x[1], code(x[0])))][:50]
+        far = {k: sum(abs(top[k].index(c) - p) if c in top[k] else 50 for p, c in enumerate(own)) for k in top}
+        best = min(sorted(far), key=far.get)
+        assert got[i].lang_pred == best and abs(got[i].score - max(0, 1 - far[best] / (len(own) * 50))) < 1e-9
+
+
+def test_scores_of_ids_that_are_texts(spark):
+    docs = spark.createDataFrame([("x1", "a b"), ("x2", None), (None, "a")], "doc_id string, text string")
+    got = {r.doc_id: r for r in ctw.scored(docs).collect()}
+    assert set(got) == {"x1", "x2", None} and got[None].held_out and got["x2"].n_tokens == 1
+
+
+def test_pipeline_stages_equal_brute_force(spark):
+    """Each stage on what its predecessor kept, over whole sf0.001."""
+    import zlib
+
+    import corpus_pipeline
+    from lodestrata.llm.base import written
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    labels = spark.read.parquet(f"{DIR}/labels.parquet")
+    kept = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        kept.append(written(stage(spark, kept[-1], DIR)))
+    rows = [[r.asDict() for r in d.collect()] for d in kept]
+    ids = [[r["doc_id"] for r in x] for x in rows]
+    assert all(d.columns == docs.columns for d in kept[:-1])
+    good = {r.doc_id for r in quality.score(docs, quality.train(docs, labels)).collect() if r.score >= 0.7}
+    assert sorted(ids[1]) == sorted(good) and 0 < len(good) < len(ids[0])
+    lettered = {r["doc_id"] for r in rows[1] if any(c.isalpha() for c in r["text"] or "")}
+    assert sorted(ids[2]) == sorted(lettered)
+    first = {}
+    for r in sorted(rows[2], key=lambda r: r["doc_id"]):
+        first.setdefault(re.sub("[\x20\x09-\x0d]+", " ", r["text"] or ""), r["doc_id"])
+    assert sorted(ids[3]) == sorted(first.values())
+    bags = {}
+    for r in rows[3]:
+        w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")]
+        bags[r["doc_id"]] = collections.Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+    up = {i: i for i in bags}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    own = sorted(bags)
+    for x, a in enumerate(own):
+        for b in own[x + 1 :]:
+            both = sum((bags[a] & bags[b]).values())
+            if both >= 0.8 * (bags[a].total() + bags[b].total() - both):
+                lo, hi = sorted((top(a), top(b)))
+                up[hi] = lo
+    assert sorted(ids[4]) == sorted(i for i in own if up[i] == i)
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    t.encode_special_tokens = True
+    pieces_of, places = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows[5]:
+        pieces_of[r["doc_id"]].append(r)
+        places[r["sequence_id"]].append((r["offset"], r["offset"] + r["length"]))
+    assert sorted(pieces_of) == sorted(ids[4])
+    for r in rows[4]:
+        want = np.array([*t.encode(r["text"] or "", add_special_tokens=False).ids, 0], "<u4")
+        got = sorted(pieces_of[r["doc_id"]], key=lambda p: p["piece"])
+        assert sum(p["length"] for p in got) == len(want) and [p["start"] for p in got] == [0, *np.cumsum([p["length"] for p in got])[:-1]]
+        assert all(p["ids_crc32"] == zlib.crc32(want[p["start"] : p["start"] + p["length"]].tobytes()) for p in got)
+    for spans in places.values():
+        spans.sort()
+        assert spans[0][0] == 0 and spans[-1][1] <= 2048 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import LOWER, blocks, documents, drop, flat, lean, mix, numbered, owners, span_hashes, with_fields, words, written
+from .base import LOWER, blocks, documents, drop, flat, lean, mix, numbered, owners, span_hashes, trim, with_fields, words, written
 from .exact_dedup import among, hits, repeated_filter, settled
 
 SHINGLE = 5
@@ -379,7 +379,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
 
     @F.arrow_udf("struct<h1:bigint,h2:bigint,maybe_:boolean>")
     def whole(texts: pa.Array) -> pa.Array:
-        h1, h2 = (pa.array(h.view(np.int64)) for h in _whole(*_word_hashes(texts)))
+        # a batch is bounded by rows, so its texts are hashed in blocks bounded by bytes
+        parts = [_whole(*_word_hashes(t["t_"])) for t in blocks(iter([pa.RecordBatch.from_arrays([texts], ["t_"])]), text="t_")]
+        h1, h2 = (pa.array(np.concatenate([np.zeros(0, np.uint64), *(p[i] for p in parts)]).view(np.int64)) for i in (0, 1))
+        trim()
         return pa.StructArray.from_arrays([h1, h2, pa.array(hits(h1, shared.value, bits), pa.bool_())], ["h1", "h2", "maybe_"])
 
     seen = numbered(docs, h=whole(F.col(f"`{text}`").cast("string"))).select("*", "h.*").drop("h")

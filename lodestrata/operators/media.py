@@ -1,4 +1,8 @@
-"""Peaks, captions, threads, settings and tails."""
+"""Peaks, captions, threads, settings and tails.
+
+Defined results: a null value is no peak; null and empty lines are no captions; a comment without a parent, or whose
+parent isn't there, is a root; of lines with one number in a source any may be the last.
+"""
 
 from __future__ import annotations
 

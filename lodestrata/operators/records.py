@@ -1,4 +1,8 @@
-"""Record logs as tables: chains of hashes, audits, losses, parity, chunks, pacing."""
+"""Record logs as tables: chains of hashes, audits, losses, parity, chunks, pacing.
+
+Defined results: a null number belongs to no run and is missing from none; a repeated number counts once in runs and
+losses; a null text has no chunks; of records with one number and no body the first by offset stays.
+"""
 
 from __future__ import annotations
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from lodestrata.catalogue import query, table
@@ -10,6 +11,14 @@ from lodestrata.operators import actions, audit, documents, live, media, playlis
 from lodestrata.sources import armor, captures
 from lodestrata.streaming import ordered
 
+def _held(df):
+    """df, made once though it is read more than once: checkpointed where the session has a folder for that, else on the executors' disks."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None and (top := sc.getConf().get("spark.checkpoint.dir")):
+        sc.setCheckpointDir(top)
+    return df.checkpoint() if sc.getCheckpointDir() else df.persist(StorageLevel.DISK_ONLY)
+
+
 # Texts with links are made from events, as no table has any; `id` is an id of eleven characters, `id2` another.
 _LINKS_SQL = """(SELECT event_id, id, id2, CASE event_id % 6
  WHEN 0 THEN 'watch https://www.youtube.com/watch?v=' || id || '&t=5s now' WHEN 1 THEN '<a href="youtube.com/shorts/' || id || '">x</a>'
@@ -294,7 +303,7 @@ def capture_audit(spark, d):
                 out.append(bytes(whole[: len(whole) - (int(key) % 3 == 2)]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["path", "content"])
 
-    seen = audit.audit(captures.scanned(docs.mapInArrow(damaged, "path string, content binary"), ends=True))
+    seen = audit.audit(_held(captures.scanned(docs.mapInArrow(damaged, "path string, content binary"), ends=True)))
     return seen.select(F.col("path").cast("long").alias("doc_id"), "data", "parity", "checkpoints", "recovered", "data_lost", "unknown_lost", "resyncs", "verified", "truncated", "verdict", "payload_sha256")
 
 

@@ -127,7 +127,6 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[dict[str, np
     return dict(zip(("length", "rank", "many", "sequence", "offset"), table.T.copy(), strict=True)), opened
 
 
-_RUN = "at int, kind string, size long, first long, many long"
 _LINE = "kind string, at int, size long, first long, many long, sequence long, place long"
 
 
@@ -178,6 +177,12 @@ def _sweep(capacity: int):
     return run
 
 
+def _runs(spark: SparkSession, rows: list[tuple[int, str, int, int, int]]) -> DataFrame:
+    """Runs as a table; as Arrow, so that no Python worker has to read them before the sweeps do."""
+    kinds = (("at", pa.int32()), ("kind", pa.string()), ("size", pa.int64()), ("first", pa.int64()), ("many", pa.int64()))
+    return spark.createDataFrame(pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(kinds)}))
+
+
 def rounds(spark: SparkSession, counts: dict[int, int], capacity: int = CAPACITY) -> tuple[dict[str, np.ndarray], int]:
     """The plan's lines as plan() has them, and the number of sequences, by rounds over ranges."""
     lines: list[tuple[int, int, int, int, int]] = []
@@ -198,7 +203,7 @@ def rounds(spark: SparkSession, counts: dict[int, int], capacity: int = CAPACITY
                     opened, above = opened + new, [range_of(capacity)]
                 dealt = _dealt(waiting, {r: sum(g * many for g, _, many in gaps if range_of(g) == r) for r in above})
             rows = [(at, "piece", *w) for at, own in dealt.items() for w in own] + [(range_of(g), "gap", g, first, many) for g, first, many in gaps if range_of(g) in dealt]
-            done = spark.createDataFrame(rows, _RUN).groupBy("at").applyInArrow(_sweep(capacity), _LINE).toArrow().to_pylist()
+            done = _runs(spark, rows).groupBy("at").applyInArrow(_sweep(capacity), _LINE).toArrow().to_pylist()
             lines += [(r["size"], r["first"], r["many"], r["sequence"], r["place"]) for r in done if r["kind"] == "line"]
             gaps = _joined([g for g in gaps if range_of(g[0]) not in dealt] + [(r["size"], r["first"], r["many"]) for r in done if r["kind"] == "gap"])
             waiting = sorted(((r["size"], r["first"], r["many"]) for r in done if r["kind"] == "piece"), key=lambda w: (-w[0], w[1]))

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .base import blocks, documents, lean, with_fields, written
-from .pieces import byte_bpe
+from .pieces import byte_bpe, forget
 
 CAPACITY = 2048
 END = 0
@@ -77,6 +77,7 @@ def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str
             local[order] = np.arange(len(row)) - runs[length[order]] + seen[length[order]]
             seen += np.diff(runs)
             yield pa.RecordBatch.from_arrays([t[0].combine_chunks().take(pa.array(row)) if len(row) else t[0].combine_chunks(), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(row), task, np.int32)), pa.array(local)], ["id", "piece", "start", "length", "ids_crc32", "task", "local"])
+        forget()
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t_"))
     fields = {"piece": T.IntegerType(), "start": T.LongType(), "length": T.LongType(), "ids_crc32": T.LongType(), "task": T.IntegerType(), "local": T.LongType()}

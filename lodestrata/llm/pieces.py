@@ -158,8 +158,13 @@ def together(t, found: list[str], run: int = 2048) -> tuple[np.ndarray, np.ndarr
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
 
+def forget() -> None:
+    """Frees this worker's encoders: a worker that waits for its next task holds none."""
+    _encoders.clear()
+
+
 def byte_bpe(path: str, threads: int = 1) -> Encoder:
-    """The encoder for a tokenizers file with the byte-level pattern above, kept by this worker. A file with another pattern or a normaliser raises ValueError."""
+    """The encoder for a tokenizers file with the byte-level pattern above, kept by this worker until forget(). A file with another pattern or a normaliser raises ValueError."""
     if ("byte", path) not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))

@@ -225,6 +225,8 @@ def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
             if parity:
                 cols.append(pa.array(same_as_library(path, texts, ids, offs, back, threads), pa.bool_()))
             yield pa.RecordBatch.from_arrays(cols, [id_col, "ids", "decoded", "parity"][: len(cols)])
+        codec.cache_clear()
+        library.cache_clear()
 
     kind = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, ids array<int>, decoded string" + (", parity boolean" if parity else "")
     return docs.select(id_col, text).mapInArrow(lean(run), kind)

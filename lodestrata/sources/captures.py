@@ -22,7 +22,8 @@ import json
 import struct
 import zlib
 from bisect import bisect_right
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Generator, Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,7 @@ TYPES = "HDPCE"
 GENESIS, CHECKPOINT, SIGNED = b"sstr-v0 genesis", b"sstr-v0 checkpoint", b"sstr-v0 "
 CHECKPOINT_RECORDS = 64
 
-#: Bytes of bodies that a reader mends together.
+#: Bytes of bodies that a reader mends together, of files that it reads side by side, and of records that a writer codes together.
 TOGETHER = 1 << 22
 
 SCHEMA = "path string, offset long, typ string, flags int, seq long, t_us long, plain_len long, body_crc long, plain binary, hdr_fixed int, body_fixed int, resync boolean, skipped long, truncated boolean"
@@ -62,11 +63,16 @@ def bare_header(typ: str, flags: int, seq: int, t_us: int, size: int, crc: int)
     return HEADER.pack(ord(typ), flags, 0, seq, t_us, size, crc)
 
 
+def packed_all(rows: list[tuple[str, int, int, int, bytes]]) -> list[bytes]:
+    """Each record (typ, flags, seq, t_us, plain) as it is stored; all are coded side by side."""
+    bare = [bare_header(typ, flags, seq, t_us, len(plain), zlib.crc32(plain)) for typ, flags, seq, t_us, plain in rows]
+    copies = rs.encode_all([b + struct.pack("<I", zlib.crc32(b)) for b in bare])
+    return [MARKS[0] + copy + MARKS[1] + copy + body for copy, body in zip(copies, rs.encode_all([r[4] for r in rows]), strict=True)]
+
+
 def packed(typ: str, flags: int, seq: int, t_us: int, plain: bytes) -> bytes:
     """One record as it is stored."""
-    bare = bare_header(typ, flags, seq, t_us, len(plain), zlib.crc32(plain))
-    copy = rs.encode(bare + struct.pack("<I", zlib.crc32(bare)))
-    return MARKS[0] + copy + MARKS[1] + copy + rs.encode(plain)
+    return packed_all([(typ, flags, seq, t_us, plain)])[0]
 
 
 def parity_body(entries: list[tuple], bodies: list[bytes], rows: int = 2) -> bytes:
@@ -92,38 +98,36 @@ def signed_message(stream_id: bytes, digest: bytes) -> bytes:
     return SIGNED + stream_id + digest
 
 
-def pieces(chunks: Iterable[tuple[int, bytes]], stream_id: str, rows: int = 2, deflate: bool = False, group: int = GROUP, checkpoint: int | None = CHECKPOINT_RECORDS, meta: dict | None = None, sign: Callable[[bytes], str] | None = None) -> Iterator[bytes]:
-    """A capture of (t_us, bytes) chunks, piece by piece: head and end twice, parity after each group, a checkpoint twice after as many hashed records. Holds one group and one checkpoint's entries."""
+def _plain_records(chunks: Iterable[tuple[int, bytes]], stream_id: str, rows: int = 2, deflate: bool = False, group: int = GROUP, checkpoint: int | None = CHECKPOINT_RECORDS, meta: dict | None = None, sign: Callable[[bytes], str] | None = None) -> Iterator[tuple]:
+    """The records of a capture, not yet coded: (typ, flags, seq, t_us, plain), times. Holds one group and one checkpoint's entries."""
     head = {"format": FORMAT, "version": rows - 1, "stream_id": stream_id, **(meta or {})}
     own = bytes.fromhex(stream_id) if len(stream_id) % 2 == 0 and all(c in "0123456789abcdef" for c in stream_id) else stream_id.encode()
     seq, entries, bodies, window, prev, digest, total, many, last = 0, [], [], [], genesis(own), hashlib.sha256(), 0, 0, 0
 
-    def put(typ: str, plain: bytes, t_us: int, flags: int = 0, times: int = 1, hashed: bool = False) -> bytes:
+    def put(typ: str, plain: bytes, t_us: int, flags: int = 0, times: int = 1, hashed: bool = False) -> tuple:
         nonlocal seq
         if hashed:
             window.append((seq, record_hash(typ, flags, seq, t_us, plain)))
         seq += 1
-        return packed(typ, flags, seq - 1, t_us, plain) * times
+        return (typ, flags, seq - 1, t_us, plain), times
 
-    def parity() -> bytes:
-        if not entries:
-            return b""
-        out = put("P", parity_body(entries, bodies, rows), last)
-        entries.clear()
-        bodies.clear()
-        return out
+    def parity() -> Iterator[tuple]:
+        if entries:
+            yield put("P", parity_body(entries, bodies, rows), last)
+            entries.clear()
+            bodies.clear()
 
-    def check() -> bytes:
+    def check() -> Iterator[tuple]:
         nonlocal prev
         if checkpoint is None or not window:
-            return b""
+            return
         d = checkpoint_digest(prev, window)
         body = {"prev": prev.hex(), "entries": [[n, h.hex()] for n, h in window], "digest": d.hex(), "sig": sign(signed_message(own, d)) if sign else None, "stream": head}
         window.clear()
         prev = d
-        return put("C", json.dumps(body, separators=(",", ":")).encode(), last, times=2)
+        yield put("C", json.dumps(body, separators=(",", ":")).encode(), last, times=2)
 
-    yield MAGIC + put("H", json.dumps(head).encode(), 0, times=2, hashed=True)
+    yield put("H", json.dumps(head).encode(), 0, times=2, hashed=True)
     for t_us, chunk in chunks:
         small = zlib.compress(chunk) if deflate else chunk
         flags = DEFLATED if len(small) < 0.95 * len(chunk) else 0
@@ -135,17 +139,48 @@ def pieces(chunks: Iterable[tuple[int, bytes]], stream_id: str, rows: int = 2, d
         total, many = total + len(chunk), many + 1
         due = checkpoint is not None and len(window) >= checkpoint
         if len(entries) >= group or due:
-            yield parity()
+            yield from parity()
         if due:
-            yield check()
-    yield parity()
+            yield from check()
+    yield from parity()
     yield put("E", json.dumps({"data_records": many, "bytes": total, "sha256": digest.hexdigest(), "interrupted": False}).encode(), last, times=2, hashed=True)
-    yield check()
+    yield from check()
+
+
+def _coded(flow: Iterable[tuple]) -> Iterator[tuple]:
+    """(key, piece) of (key, (record, times)); records are coded together by TOGETHER / 4 bytes, headers counted."""
+    held, size = [], 0
+    for item in flow:
+        held.append(item)
+        size += len(item[1][0][4]) + 2 * COPY
+        if size >= TOGETHER // 4:
+            yield from _coded_now(held)
+            held, size = [], 0
+    yield from _coded_now(held)
+
+
+def _coded_now(held: list[tuple]) -> Iterator[tuple]:
+    for (key, (_, times)), piece in zip(held, packed_all([r for _, (r, _) in held]), strict=True):
+        yield key, piece * times
+
+
+def pieces(chunks: Iterable[tuple[int, bytes]], stream_id: str, *args, **kw) -> Iterator[bytes]:
+    """A capture of (t_us, bytes) chunks, piece by piece: head and end twice, parity after each group, a checkpoint twice after as many hashed records. Holds one group, one checkpoint's entries and the records that are coded together."""
+    yield MAGIC
+    for _, piece in _coded((None, r) for r in _plain_records(chunks, stream_id, *args, **kw)):
+        yield piece
+
+
+def captured(many: Iterable[tuple[Iterable[tuple[int, bytes]], str]], rows: int = 2, deflate: bool = False, group: int = GROUP, checkpoint: int | None = None, meta: dict | None = None) -> Iterator[bytes]:
+    """The whole capture of each (chunks, stream_id), coded side by side; without checkpoints unless asked."""
+    flow = ((i, r) for i, (chunks, stream_id) in enumerate(many) for r in _plain_records(chunks, stream_id, rows, deflate, group, checkpoint, meta))
+    for _, own in itertools.groupby(_coded(flow), key=lambda x: x[0]):
+        yield MAGIC + b"".join(piece for _, piece in own)
 
 
 def capture(chunks: list[tuple[int, bytes]], stream_id: str, rows: int = 2, deflate: bool = False, group: int = GROUP, checkpoint: int | None = None, meta: dict | None = None) -> bytes:
     """A whole capture; without checkpoints unless asked."""
-    return b"".join(pieces(chunks, stream_id, rows, deflate, group, checkpoint, meta))
+    return next(captured([(chunks, stream_id)], rows, deflate, group, checkpoint, meta))
 
 
 def recorded(chunks: DataFrame, rows: int = 2, deflate: bool = False, checkpoint: int | None = CHECKPOINT_RECORDS) -> DataFrame:
@@ -189,6 +224,8 @@ class Lost:
 
     def mask(self, a: int, b: int) -> np.ndarray | None:
         """Which bytes of [a, b) are lost, None if none is."""
+        if not self.start:
+            return None
         first = bisect_right(self.end, a)
         out = None
         while first < len(self.start) and self.start[first] < b:
@@ -198,15 +235,29 @@ class Lost:
         return out
 
 
-def _header(data: bytes, at: int, lost: Lost) -> tuple[tuple, int] | None:
+class _Ask(NamedTuple):
+    """A damaged header's copy, which a reader wants mended, and which of its bytes are lost."""
+
+    raw: bytes
+    mask: np.ndarray | None
+
+
+def _is_header(b: bytes) -> bool:
+    return zlib.crc32(b[:28]) == int.from_bytes(b[28:32], "little")
+
+
+# What asks for a header to be mended: it is sent the plain bytes or None, and the number of bytes mended.
+_Header = Generator[_Ask, tuple[bytes | None, int], tuple[tuple, int] | None]
+
+
+def _header(data: bytes, at: int, lost: Lost) -> _Header:
     """Header fields at `at` and the bytes mended: from either copy, or from both, each with what the other lost."""
-    is_right = lambda b: zlib.crc32(b[:28]) == int.from_bytes(b[28:32], "little")
     copies = [(data[i : i + 64], lost.mask(i, i + 64)) for i in (at + 4, at + COPY + 4)]
     if any(m is not None for _, m in copies):
         (one, a), (two, b) = ((np.frombuffer(c, np.uint8), np.zeros(64, bool) if m is None else m) for c, m in copies)
         copies.append((np.where(a & ~b, two, one).tobytes(), a & b))
     for raw, mask in copies:
-        bare, mended = rs.decode(raw, 32, is_right, mask)
+        bare, mended = (raw, 0) if _is_header(raw) else (yield _Ask(raw, mask))
         if bare is None:
             continue
         typ, flags, _, seq, t_us, size, crc = HEADER.unpack(bare[:28])
@@ -215,10 +266,10 @@ def _header(data: bytes, at: int, lost: Lost) -> tuple[tuple, int] | None:
     return None
 
 
-def _next(data: bytes, at: int, lost: Lost) -> tuple[int, tuple[tuple, int]] | None:
+def _next(data: bytes, at: int, lost: Lost) -> Generator[_Ask, tuple, tuple[int, tuple[tuple, int]] | None]:
     """The first place from `at` on with a readable header: `at` itself, or where a mark says one starts."""
     room = len(data) - 2 * COPY
-    if at <= room and (found := _header(data, at, lost)):
+    if at <= room and (found := (yield from _header(data, at, lost))):
         return at, found
     seen = at
     while True:
@@ -226,39 +277,73 @@ def _next(data: bytes, at: int, lost: Lost) -> tuple[int, tuple[tuple, int]] | N
         if not marks:
             return None
         seen, start = min(marks)
-        if at <= start <= room and (found := _header(data, start, lost)):
+        if at <= start <= room and (found := (yield from _header(data, start, lost))):
             return start, found
 
 
-def every(data: bytes, lost: Iterable[tuple[int, int]] = ()) -> Iterator[tuple]:
-    """Records of a capture, as SCHEMA has them after path, and last the row about the file's end. Bodies are mended some at a time."""
-    own = Lost(lost)
+def _read(data: bytes, lost: Lost) -> Generator[_Ask | tuple, tuple | None, None]:
+    """A capture's records without their bodies (offset, typ, flags, seq, t_us, size, crc, bytes mended, resync, skipped), the whole row about its end, and between them what is to be mended."""
     at = len(MAGIC) if data.startswith(MAGIC) else 0
+    while hit := (yield from _next(data, at, lost)):
+        start, (head, fixed_head) = hit
+        end = start + 2 * COPY + rs.body_length(head[4])
+        if end > len(data):
+            yield len(data), "", 0, -1, 0, 0, 0, None, 0, 0, start != at, start - at, True
+            return
+        yield start, *head, fixed_head, start != at, start - at
+        at = end
+    yield len(data), "", 0, -1, 0, 0, 0, None, 0, 0, False, len(data) - at, False
+
+
+def _heads(files: list[tuple[bytes, Lost]]) -> Iterator[tuple[int, tuple]]:
+    """(which file, what _read gives) of all files, each in its order; damaged headers of all are mended side by side."""
+    readers = [_read(*f) for f in files]
+    live: dict[int, tuple | None] = dict.fromkeys(range(len(files)))
+    while live:
+        asked = {}
+        for i, answer in live.items():
+            got = readers[i].send(answer)
+            while got is not None and not isinstance(got, _Ask):
+                yield i, got
+                got = next(readers[i], None)
+            if got is not None:
+                asked[i] = got.raw, 32, _is_header, got.mask
+        live = dict(zip(asked, rs.decode_all(list(asked.values())), strict=True))
+
+
+def every_of(files: list[tuple[bytes, Iterable[tuple[int, int]]]]) -> Iterator[tuple[int, tuple]]:
+    """(which file, record) of captures (data, lost ranges), read side by side: each one's records in order, as SCHEMA has them after path, and last the row about its end. Bodies are mended some at a time."""
+    own = [(data, Lost(lost)) for data, lost in files]
     held, bodies, size_held = [], [], 0
 
-    def mended() -> Iterator[tuple]:
-        for (start, typ, flags, seq, t_us, size, crc, fixed_head, resync, skipped), (plain, fixed) in zip(held, rs.decode_all(bodies), strict=True):
-            yield start, typ, flags, seq, t_us, size, crc, plain, fixed_head, fixed, resync, skipped, False
+    def mended() -> Iterator[tuple[int, tuple]]:
+        done = iter(rs.decode_all(bodies))
+        for i, h in held:
+            if h[1]:
+                plain, fixed = next(done)
+                yield i, (*h[:7], plain, h[7], fixed, *h[8:], False)
+            else:
+                yield i, h
         held.clear()
         bodies.clear()
 
-    tail = None
-    while hit := _next(data, at, own):
-        start, ((typ, flags, seq, t_us, size, crc), fixed_head) = hit
-        body_at = start + 2 * COPY
-        end = body_at + rs.body_length(size)
-        if end > len(data):
-            tail = len(data), "", 0, -1, 0, 0, 0, None, 0, 0, start != at, start - at, True
-            break
-        held.append((start, typ, flags, seq, t_us, size, crc, fixed_head, start != at, start - at))
-        bodies.append((data[body_at:end], size, lambda b, crc=crc: zlib.crc32(b) == crc, own.mask(body_at, end)))
-        size_held += end - body_at
-        at = end
+    for i, h in _heads(own):
+        held.append((i, h))
+        if not h[1]:
+            continue
+        (data, lost), at, size, crc = own[i], h[0] + 2 * COPY, h[5], h[6]
+        end = at + rs.body_length(size)
+        bodies.append((data[at:end], size, lambda b, crc=crc: zlib.crc32(b) == crc, lost.mask(at, end)))
+        size_held += end - at
         if size_held >= TOGETHER:
             yield from mended()
             size_held = 0
     yield from mended()
-    yield tail or (len(data), "", 0, -1, 0, 0, 0, None, 0, 0, False, len(data) - at, False)
+
+
+def every(data: bytes, lost: Iterable[tuple[int, int]] = ()) -> Iterator[tuple]:
+    """Records of a capture, as SCHEMA has them after path, and last the row about the file's end."""
+    return (r for _, r in every_of([(data, lost)]))
 
 
 def scan(data: bytes, lost: Iterable[tuple[int, int]] = ()) -> Iterator[tuple]:
@@ -266,19 +351,41 @@ def scan(data: bytes, lost: Iterable[tuple[int, int]] = ()) -> Iterator[tuple]:
     return (r for r in every(data, lost) if r[1])
 
 
+def placed(data: bytes) -> Iterator[tuple[int, str, int]]:
+    """(offset, typ, body's plain bytes) of the records of a capture, of which no body is decoded."""
+    return ((h[0], h[1], h[5]) for _, h in _heads([(data, Lost())]) if h[1])
+
+
+def side_by_side(files: Iterable[tuple]) -> Iterator[list[tuple]]:
+    """Runs of files (key, data, ...) of about TOGETHER bytes, a longer file by itself."""
+    held, size = [], 0
+    for f in files:
+        if held and size + len(f[1]) > TOGETHER:
+            yield held
+            held, size = [], 0
+        held.append(f)
+        size += len(f[1])
+    if held:
+        yield held
+
+
 def scanned(files: DataFrame, ends: bool = False) -> DataFrame:
     """Records of all files (path, content), with erasures (array of structs start, end) if there is such a column; with `ends` also the rows about the files' ends."""
     with_lost = "erasures" in files.columns
 
+    def found(batch):
+        for i, (path, content) in enumerate(zip(batch.column(0), batch.column(1), strict=True)):
+            lost = [(e["start"], e["end"]) for e in batch.column(2)[i].as_py() or []] if with_lost else []
+            yield path.as_py(), content.as_py() or b"", lost
+
     def run(batches):
         for batch in batches:
-            for i, (path, content) in enumerate(zip(batch.column(0), batch.column(1), strict=True)):
+            for some in side_by_side(found(batch)):
                 held, size = [], 0
-                lost = [(e["start"], e["end"]) for e in batch.column(2)[i].as_py() or []] if with_lost else []
-                for r in every(content.as_py() or b"", lost):
+                for i, r in every_of([f[1:] for f in some]):
                     if not r[1] and not ends:
                         continue
-                    held.append((path.as_py(), *r))
+                    held.append((some[i][0], *r))
                     size += len(r[7] or b"")
                     if size > 1 << 22:
                         yield _batch(held)
@@ -393,19 +500,27 @@ def survives(texts: DataFrame, hit: int = 12) -> DataFrame:
     """(id, records, sha): each text (id, text) as a capture whose every header loses its first copy and every body
     its first `hit` bytes, read back. sha is of the payload as mended."""
 
+    def damaged(batch):
+        keys = batch.column(0).to_pylist()
+        raws = [(text or "").encode() for text in batch.column(1).to_pylist()]
+        many = (([(i, raw[i : i + CHUNK]) for i in range(0, len(raw), CHUNK)], f"{key}") for key, raw in zip(keys, raws, strict=True))
+        for key, whole in zip(keys, captured(many), strict=True):
+            bad = np.frombuffer(whole, np.uint8).copy()
+            for start, _, size in placed(whole):
+                bad[start : start + COPY] ^= 0x55
+                bad[start + 2 * COPY : start + 2 * COPY + min(hit, rs.body_length(size))] ^= 0x33
+            yield key, bad.tobytes()
+
     def run(batches):
         for b in batches:
             rows = []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                raw = (text or "").encode()
-                whole = capture([(i, raw[i : i + CHUNK]) for i in range(0, len(raw), CHUNK)], f"{key}")
-                bad = np.frombuffer(whole, np.uint8).copy()
-                for start, _typ, _flags, _seq, _t, size, *_ in scan(whole):
-                    bad[start : start + COPY] ^= 0x55
-                    bad[start + 2 * COPY : start + 2 * COPY + min(hit, rs.body_length(size))] ^= 0x33
-                found = [r for r in scan(bad.tobytes()) if r[1] == "D"]
-                sha = hashlib.sha256(b"".join(r[7] or b"" for r in found)).hexdigest()
-                rows.append((key, len(found), sha))
+            for some in side_by_side(damaged(b)):
+                many, sha = [0] * len(some), [hashlib.sha256() for _ in some]
+                for i, r in every_of([(data, ()) for _, data in some]):
+                    if r[1] == "D":
+                        many[i] += 1
+                        sha[i].update(r[7] or b"")
+                rows += [(key, n, h.hexdigest()) for (key, _), n, h in zip(some, many, sha, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string()))], ["id", "records", "sha"])
 
     return texts.select("id", "text").mapInArrow(run, "id long, records long, sha string")

@@ -1,5 +1,6 @@
 import random
 
+from lodestrata.functions import reed_solomon as rs
 from lodestrata.sources import captures
 
 
@@ -50,3 +51,23 @@ def test_odd_files(spark):
     assert _back(spark, [("a", b""), ("b", b"junk" * 99), ("c", None)]) == []
     assert _back(spark, [("a", b"lead" + whole), ("b", cut)])[:3] == [c for _, c in _chunks(3)]
     assert captures.capture([], "00").startswith(captures.MAGIC) and _back(spark, [("a", captures.capture([], "00"))]) == []
+
+
+def test_many_damaged_captures_are_mended_side_by_side(monkeypatch):
+    whole = [captures.capture([(i, c[: 40 + k]) for i, c in _chunks(1 + k % 3)], "00") for k in range(60)]
+    files = []
+    for w in whole:
+        bad = bytearray(w)
+        for at, _, size in captures.placed(w):
+            for a, n in ((at, captures.COPY), (at + 2 * captures.COPY, min(12, rs.body_length(size)))):
+                bad[a : a + n] = bytes(x ^ 0x55 for x in bad[a : a + n])
+        files.append((bytes(bad), ()))
+    calls, correct = [], rs.correct_all
+    monkeypatch.setattr(rs, "correct_all", lambda *a: calls.append(len(a[0])) or correct(*a))
+    found = [[] for _ in files]
+    for i, r in captures.every_of(files):
+        found[i].append(r)
+    # at most a call for each record of one capture and one for all bodies, not for each capture
+    assert sum(calls) > 600 and len(calls) <= 1 + max(map(len, found))
+    assert [[(r[0], r[1], r[7]) for r in f] for f in found] == [[(r[0], r[1], r[7]) for r in captures.every(w)] for w in whole]
+    assert found[7] == list(captures.every(*files[7]))

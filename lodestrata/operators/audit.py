@@ -107,9 +107,9 @@ def _hashes(rows: DataFrame) -> DataFrame:
     return rows.select("path", "typ", "flags", "seq", "t_us", "plain").mapInArrow(run, "path string, seq long, hash binary")
 
 
-def audit(rows: DataFrame, check: Callable[[str, bytes, str], bool] | None = None) -> DataFrame:
-    """A row for each capture: COUNTERS, truncated, max_seq, last_signed, meta, end, payload_sha256, verdict. rows: of captures.scanned(ends=True), best written, as they are read more than once."""
-    rows = _marked(rows)
+def audit(rows: DataFrame, check: Callable[[str, bytes, str], bool] | None = None, held: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """A row for each capture: COUNTERS, truncated, max_seq, last_signed, meta, end, payload_sha256, verdict. rows: of captures.scanned(ends=True). held: makes what is read more than once only once (the marked rows, and the data records as mended)."""
+    rows = held(_marked(rows))
     live, at_all = ~F.col("repeat") & (F.col("typ") != ""), F.col("typ") != ""
     kind = lambda t: F.col("typ") == t
     n = lambda c, name: F.count_if(c).alias(name)
@@ -120,7 +120,7 @@ def audit(rows: DataFrame, check: Callable[[str, bytes, str], bool] | None = Non
         F.min_by("plain", F.when(kind("H") & F.col("good"), F.col("offset"))).cast("string").alias("meta"), F.min_by("plain", F.when(kind("E") & F.col("good"), F.col("offset"))).cast("string").alias("end"),
         F.max(F.when(live & (kind("D") | F.col("good")), F.col("seq"))).alias("top"),
     )
-    data = captures.data_records(rows.drop("good", "repeat"))
+    data = held(captures.data_records(rows.drop("good", "repeat")))
     listed = captures.parity_entries(rows.where("not repeat"))
     known = rows.where("typ = 'D' or good").where(at_all).select("path", "seq", (F.col("typ") != "D").alias("other")).unionByName(listed.select("path", "seq", F.lit(False).alias("other"))).groupBy("path", "seq").agg(F.max("other").alias("other"))
     state = known.join(data.select("path", "seq", "rebuilt"), ["path", "seq"], "left")

@@ -284,3 +284,12 @@ def test_lost_numbers(spark):
 def test_a_first_point_may_be_a_peak(spark, pos):
     df = spark.createDataFrame([(1, pos, 5.0), (1, pos + 1, 1.0)], "series int, pos int, value double")
     assert media.peaks(df).count() == (pos > 0)
+
+
+def test_audit_makes_shared_steps_once(spark):
+    made = []
+    files = [("a", captures.capture([(i, b"x%d" % i * 90) for i in range(20)], "00", checkpoint=8))]
+    rows = captures.scanned(spark.createDataFrame(files, "path string, content binary"), ends=True)
+    seen = audit.audit(rows, held=lambda df: made.append(df.columns) or df.cache())
+    assert seen.collect() == audit.audit(rows).collect() and seen.first().verdict == 0
+    assert len(made) == 2 and "repeat" in made[0] and "rebuilt" in made[1]

@@ -71,3 +71,13 @@ def test_many_damaged_captures_are_mended_side_by_side(monkeypatch):
     assert sum(calls) > 600 and len(calls) <= 1 + max(map(len, found))
     assert [[(r[0], r[1], r[7]) for r in f] for f in found] == [[(r[0], r[1], r[7]) for r in captures.every(w)] for w in whole]
     assert found[7] == list(captures.every(*files[7]))
+
+
+def test_many_captures_are_coded_side_by_side(monkeypatch):
+    many = [([(i, c) for i, c in _chunks(k % 5)], "00") for k in range(80)]
+    alone = [captures.capture(chunks, name, checkpoint=3) for chunks, name in many]
+    calls, parity = [], rs.parity
+    monkeypatch.setattr(rs, "parity", lambda data: calls.append(len(data)) or parity(data))
+    assert list(captures.captured(many, checkpoint=3)) == alone
+    # headers once and bodies once, not for each record
+    assert len(calls) == 2 and sum(calls) > 800

@@ -10,16 +10,27 @@ length open.
 
 from __future__ import annotations
 
+import binascii
+import hashlib
+import itertools
+import re
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-
-from lodestrata.functions import text as T
+from pyspark.sql.types import StructType
 
 # Payload bytes of a line, its first and last line, and the shape of a line.
 LINE_BYTES = 45
 BEGIN = "-----BEGIN SSTR ARMOR v0-----"
 END = "-----END SSTR ARMOR "
-SHAPE = r"\AS([0-9a-f]{9}):([A-Za-z0-9_-]{1,60}):([0-9a-f]{8})\z"
+SHAPE = re.compile(r"S([0-9a-f]{9}):([A-Za-z0-9_-]{1,60}):([0-9a-f]{8})")
+LAST = re.compile(r"-----END SSTR ARMOR ([0-9a-fA-F]{1,16})(?:[ \t\n\x0b\f\r-][^\n\r\x85\u2028\u2029]*)?")
+#: Lines of a batch.
+BATCH_LINES = 1 << 14
+_URL, _STANDARD = bytes.maketrans(b"+/", b"-_"), bytes.maketrans(b"-_", b"+/")
 
 
 def pieces(data: Column) -> Column:
@@ -30,32 +41,64 @@ def pieces(data: Column) -> Column:
     return F.when(many > 0, cut).otherwise(F.array().cast("array<struct<offset:bigint,bytes:binary>>"))
 
 
-def end_line(total: Column, sha256: Column) -> Column:
-    return F.concat(F.lit(END), F.lower(F.hex(total)), F.lit(" "), F.substring(sha256, 1, 40), F.lit("-----"))
+def end_line(total: int, sha256: str) -> str:
+    return f"{END}{total:x} {sha256[:40]}-----"
+
+
+def stream_lines(data: bytes | None) -> Iterator[tuple[int | None, str | None]]:
+    """(line_no, line) of one stream: the first line, a line a piece, the last line, which is null for null."""
+    yield -1, BEGIN
+    if data is None:
+        yield None, None
+        return
+    for k, at in enumerate(range(0, len(data), LINE_BYTES)):
+        head = b"S%09x:%b" % (at, binascii.b2a_base64(data[at : at + LINE_BYTES], newline=False).translate(_URL).rstrip(b"="))
+        yield k, f"{head.decode()}:{zlib.crc32(head):08x}"
+    yield -(-len(data) // LINE_BYTES), end_line(len(data), hashlib.sha256(data).hexdigest())
 
 
 def armored(streams: DataFrame) -> DataFrame:
     """(stream, line_no, line) of streams (stream, data): the first line, a line a piece, the last line."""
-    many = F.ceil(F.octet_length("data") / LINE_BYTES).cast("long")
-    body = streams.select("stream", F.explode(pieces(F.col("data"))).alias("p")).select("stream", (F.col("p.offset") / LINE_BYTES).cast("long").alias("line_no"), T.armor_line(F.col("p.offset"), F.col("p.bytes")).alias("line"))
-    first = streams.select("stream", F.lit(-1).cast("long").alias("line_no"), F.lit(BEGIN).alias("line"))
-    last = streams.select("stream", many.alias("line_no"), end_line(F.octet_length("data").cast("long"), F.sha2("data", 256)).alias("line"))
-    return first.unionByName(body).unionByName(last)
+    kind = StructType([streams.schema["stream"]]).add("line_no", "long").add("line", "string")
+
+    def run(batches):
+        for b in batches:
+            made = ((i, *line) for i in range(len(b)) for line in stream_lines(b.column(1)[i].as_py()))
+            while some := list(itertools.islice(made, BATCH_LINES)):
+                which, line_no, line = zip(*some, strict=True)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(which)), pa.array(line_no, pa.int64()), pa.array(line, pa.string())], ["stream", "line_no", "line"])
+
+    return streams.select("stream", "data").mapInArrow(run, kind)
+
+
+def parse(line: str | None) -> tuple[str, int | None, bytes | None, int | None]:
+    """kind (line, end, begin, damaged, other, blank), offset, bytes, total of one line."""
+    line = None if line is None else line.rstrip("\r\n")
+    if line is None or not line.startswith(("S", "-")):
+        return "blank" if line == "" else "other", None, None, None
+    if hit := SHAPE.fullmatch(line):
+        offset, data, crc = hit.groups()
+        if len(data) % 4 == 1 or zlib.crc32(line[:-9].encode()) != int(crc, 16):
+            return "damaged", None, None, None
+        return "line", int(offset, 16), binascii.a2b_base64(data.encode().translate(_STANDARD) + b"=="), None
+    if line.startswith(END.rstrip()):
+        total = int(hit[1], 16) if (hit := LAST.fullmatch(line)) else 1 << 63
+        return ("end", None, None, total) if total < 1 << 63 else ("begin", None, None, None)
+    return "begin" if line.startswith(BEGIN[:20]) else "other", None, None, None
 
 
 def parsed(lines: DataFrame) -> DataFrame:
-    """lines (stream, line_no, line) with kind (line, end, begin, damaged, other, blank), offset, bytes, total."""
-    line = F.rtrim(F.regexp_replace("line", r"[\r\n]+\z", ""), F.lit("\n"))
-    is_line = F.regexp_like(line, F.lit(SHAPE))
-    part = lambda k: F.regexp_extract(line, SHAPE, k)
-    crc = F.lpad(F.lower(F.hex(F.crc32(F.substring(line, F.lit(1), F.length(line) - 9).cast("binary")))), 8, "0")
-    data = T.unbase64url(F.when(is_line, part(2)))
-    total = F.conv(F.regexp_extract(line, r"\A-----END SSTR ARMOR ([0-9a-fA-F]{1,16})(?:[\s-].*)?\z", 1), 16, 10).try_cast("long")
-    starts = lambda x: F.startswith(line, F.lit(x))
-    kind = F.when(starts(END.rstrip()), F.when(total.isNotNull(), F.lit("end")).otherwise(F.lit("begin"))).when(is_line & (crc == part(3)) & data.isNotNull(), F.lit("line")).when(is_line, F.lit("damaged")).when(starts(BEGIN[:20]), F.lit("begin")).when(line == "", F.lit("blank")).otherwise(F.lit("other"))
-    out = lines.withColumn("kind", kind)
-    whole = F.col("kind") == "line"
-    return out.withColumns({"offset": F.when(whole, F.conv(part(1), 16, 10).cast("long")), "bytes": F.when(whole, data), "total": F.when(F.col("kind") == "end", total)}).drop("line")
+    """lines (stream, line_no, line) with kind, offset, bytes, total for line: each is read once, however often its parts are used."""
+    rest = [c for c in lines.columns if c != "line"]
+    kind = StructType([lines.schema[c] for c in rest]).add("kind", "string").add("offset", "long").add("bytes", "binary").add("total", "long")
+
+    def run(batches):
+        for b in batches:
+            got = zip(*map(parse, b.column(0).to_pylist()), strict=True) if len(b) else [()] * 4
+            new = [pa.array(c, t) for c, t in zip(got, (pa.string(), pa.int64(), pa.binary(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays(b.columns[1:] + new, [*rest, "kind", "offset", "bytes", "total"])
+
+    return lines.select("line", *rest).mapInArrow(run, kind)
 
 
 def unarmored(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -63,21 +106,22 @@ def unarmored(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     Lines come in rising order of their offsets but for repeats; what stands after the last line's end counts as lost up to the length that it tells.
     """
-    seen = parsed(lines)
-    good = seen.where("kind = 'line'").withColumn("until", F.col("offset") + F.octet_length("bytes"))
     so_far = Window.partitionBy("stream").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    placed = good.withColumn("reach", F.coalesce(F.max("until").over(so_far), F.lit(0).cast("long"))).withColumn("repeat", F.col("offset") < F.col("reach"))
-    kept = placed.where("not repeat")
+    whole = F.col("kind") == "line"
+    seen = parsed(lines).withColumn("until", F.when(whole, F.col("offset") + F.octet_length("bytes")))
+    placed = seen.withColumn("reach", F.coalesce(F.max("until").over(so_far), F.lit(0).cast("long"))).withColumn("repeat", whole & (F.col("offset") < F.col("reach")))
+    kept = placed.where(whole & ~F.col("repeat"))
+    hole = F.when(whole & (F.col("offset") > F.col("reach")), F.col("offset") - F.col("reach"))
+    n = lambda c, name: F.count_if(c).alias(name)
+    sums = placed.groupBy("stream").agg(
+        n(whole & ~F.col("repeat"), "lines"), n(F.col("kind") == "damaged", "crc_failed"), n(F.col("kind") == "other", "not_armor"), n(F.col("repeat"), "repeats"),
+        F.coalesce(F.sum(hole), F.lit(0).cast("long")).alias("holes"), F.coalesce(F.max("until"), F.lit(0).cast("long")).alias("reach"), F.max("total").alias("total"),
+    )
+    lost_bytes = F.col("holes") + F.greatest(F.coalesce(F.col("total") - F.col("reach"), F.lit(0).cast("long")), F.lit(0).cast("long"))
+    stats = sums.select("stream", "lines", "crc_failed", "not_armor", "repeats", lost_bytes.alias("lost_bytes"), "total")
     holes = kept.where("offset > reach").select("stream", F.col("reach").alias("start"), F.col("offset").alias("end"))
-    ends = seen.groupBy("stream").agg(F.max("total").alias("total"), F.count_if(F.col("kind") == "damaged").alias("crc_failed"), F.count_if(F.col("kind") == "other").alias("not_armor"))
-    reach = placed.groupBy("stream").agg(F.max("until").alias("reach"), F.count_if(~F.col("repeat")).alias("lines"), F.count_if("repeat").alias("repeats"))
-    both = ends.join(reach, "stream", "left").withColumn("reach", F.coalesce("reach", F.lit(0).cast("long")))
-    tail = both.where("total > reach").select("stream", F.col("reach").alias("start"), F.col("total").alias("end"))
-    lost = holes.unionByName(tail)
-    sums = lost.groupBy("stream").agg(F.sum(F.col("end") - F.col("start")).alias("lost_bytes"))
-    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    stats = both.join(sums, "stream", "left").select("stream", zero("lines"), "crc_failed", "not_armor", zero("repeats"), zero("lost_bytes"), "total")
-    return kept.select("stream", "offset", "bytes"), lost, stats
+    tail = sums.where("total > reach").select("stream", F.col("reach").alias("start"), F.col("total").alias("end"))
+    return kept.select("stream", "offset", "bytes"), holes.unionByName(tail), stats
 
 
 def files(lines: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -293,3 +294,17 @@ def test_audit_makes_shared_steps_once(spark):
     seen = audit.audit(rows, held=lambda df: made.append(df.columns) or df.cache())
     assert seen.collect() == audit.audit(rows).collect() and seen.first().verdict == 0
     assert len(made) == 2 and "repeat" in made[0] and "rebuilt" in made[1]
+
+
+def test_armor_lines_are_read_once(spark):
+    head = "S000000000:-_8"
+    good = f"{head}:{zlib.crc32(head.encode()):08x}"
+    short = "S000000000:A"
+    odd = {good: ("line", 0, b"\xfb\xff", None), f"{good}\r\n\n": ("line", 0, b"\xfb\xff", None), good[:-1] + "x": ("other", None, None, None), f" {good}": ("other", None, None, None), f"{short}:{zlib.crc32(short.encode()):08x}": ("damaged", None, None, None), head + ":00000000": ("damaged", None, None, None)}
+    odd |= {"-----END SSTR ARMOR 1F4 ab-----\n": ("end", None, None, 500), "-----END SSTR ARMOR ffffffffffffffff": ("begin", None, None, None), "-----END SSTR ARMOR": ("begin", None, None, None), "-----BEGIN SSTR ARMOR v1": ("begin", None, None, None), "\r\n": ("blank", None, None, None), "": ("blank", None, None, None), " ": ("other", None, None, None), None: ("other", None, None, None)}
+    df = spark.createDataFrame([("a", i, x) for i, x in enumerate(odd)], "stream string, line_no long, line string")
+    assert [(r.kind, r.offset, r.bytes, r.total) for r in armor.parsed(df).orderBy("line_no").collect()] == list(odd.values())
+    stats = armor.unarmored(armor.armored(spark.createDataFrame([("a", b"x" * 500), ("e", b"")], "stream string, data binary")))[2]
+    assert sorted(map(tuple, stats.collect())) == [("a", 12, 0, 0, 0, 0, 500), ("e", 0, 0, 0, 0, 0, 0)]
+    plan = stats._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and plan.count("Window [") == 1 and "Join" not in plan

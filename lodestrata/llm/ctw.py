@@ -312,6 +312,19 @@ def _sums(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return key, np.bincount(back, np.concatenate([p[1] for p in parts]), len(key)).astype(np.int64)
 
 
+def _keys(lower: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct strings and words of some texts, sorted, as _kinds has them, without the places, which cost a sort of places too."""
+    starts, ends, before = words(lower, offs)
+    data, where, _ = stream(lower, starts, ends, before)
+    return _distinct(grams(data, where)), _distinct(span_hashes(lower, starts, ends))
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct numbers of x, which is sorted in its place."""
+    x.sort()
+    return x[np.diff(x, prepend=~x[:1]) != 0]
+
+
 def _kinds(lower: np.ndarray, offs: np.ndarray, held: np.ndarray):
     """Strings and words of some texts: (place in the keys of each item, keys, how often training has each, n+1 counts of items) of both."""
     starts, ends, before = words(lower, offs)
@@ -442,9 +455,9 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mod: int
         parts = sorted(zip(right["part"].to_pylist(), right["got"].to_pylist(), strict=True))
         pieces = list(_pieces(data, offs, held))
         values = []
-        keys = [[own for _, own, _, _ in _kinds(d, o, h)] for _, _, d, o, h in pieces]
+        keys = [_keys(d, o) for _, _, d, o, _ in pieces]
         for which, kind in ((0, np.float32), (1, np.int64)):
-            key = np.unique(np.concatenate([k[which] for k in keys]))
+            key = _distinct(np.concatenate([k[which] for k in keys]))
             at = np.empty(len(key), kind)
             got = [_unpacked(x, kind) for p, x in parts if (p >= buckets) == which]
             at[_order(key, buckets)[1]] = np.concatenate(got) if got else np.zeros(0, kind)

@@ -545,3 +545,11 @@ def test_pipeline_stages_equal_brute_force(spark):
     for spans in places.values():
         spans.sort()
         assert spans[0][0] == 0 and spans[-1][1] <= 2048 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_ctw_keys_alone_are_those_of_the_whole_step():
+    for texts in ([b""], [b"", b" "], [b"a b a", b"", b"b a\tb", "é ü".encode() * 40], [b"x" * 300, b"x x x"]):
+        data, offs = np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts]))
+        whole = [own for _, own, _, _ in ctw._kinds(data, offs, np.zeros(len(texts), bool))]
+        for own, alone in zip(whole, ctw._keys(data, offs), strict=True):
+            assert own.dtype == alone.dtype and own.tolist() == alone.tolist()
